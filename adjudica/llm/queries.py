@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, mixing, packing, sharding, simhash
+from adjudica.llm import exact_dedup, language_id, mixing, packing, sharding, simhash
+from adjudica.llm.shared import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.train(docs, ~held_out(F.col("doc_id")))
+    said = language_id.identify(docs.select("doc_id", "text"), network)
+    return said.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("row.*", "rate", "copies", "copy_no", "mix_key")
@@ -36,5 +44,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op4_jump_shards, op6_best_fit_packing, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op6_best_fit_packing, op9_exact_dedup, op10_simhash_near_dedup)
 }
