@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, language_id, mixing, packing, sharding, simhash
+from adjudica.llm import exact_dedup, language_id, mixing, packing, quality, sharding, simhash
 from adjudica.llm.shared import held_out
 
 
@@ -35,6 +35,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    scored = quality.score_quality(docs.select("doc_id", "text"), trees)
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,5 +51,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op6_best_fit_packing, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
 }
