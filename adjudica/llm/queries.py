@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, language_id, mixing, packing, quality, sharding, simhash
+from adjudica.llm import exact_dedup, html_text, language_id, mixing, packing, quality, sharding, simhash
 from adjudica.llm.shared import held_out
 
 
@@ -31,6 +31,12 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.learn_weights(pages))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,5 +57,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
 }
