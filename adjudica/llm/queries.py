@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, html_text, language_id, mixing, packing, quality, sharding, simhash
+from adjudica.llm import exact_dedup, html_text, language_id, mixing, packing, quality, sharding, simhash, topk
 from adjudica.llm.shared import held_out
 
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("row.*", "rate", "copies", "copy_no", "mix_key")
@@ -57,5 +61,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
 }
