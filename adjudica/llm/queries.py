@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, html_text, language_id, mixing, packing, quality, sharding, simhash, topk
+from adjudica.llm import exact_dedup, html_text, language_id, mixing, ngram_lm, packing, quality, sharding, simhash, topk
 from adjudica.llm.shared import held_out
 
 
@@ -52,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -61,5 +65,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op9_exact_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op8_lm_scores, op9_exact_dedup, op10_simhash_near_dedup)
 }
