@@ -1 +1,82 @@
-ORACLES: dict[str, str] = {}
+"""SQL (DuckDB) that states the results of the operators' queries, where SQL can.
+
+Without SQL: op1, op7 (trained models), op5 (page structure), op6 (the tokenizer), op8 (the filter's probes), op10
+(shingles' XXH64) and the pipeline; tests hold those against brute force or held-out accuracy.  op4's crc32 is spelt out
+byte by byte, as DuckDB has no such function.
+"""
+
+from __future__ import annotations
+
+_WHITE = r"[\x20\x09-\x0D]+"
+
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP3 = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, pow(CAST(n AS DOUBLE), 0.5) / sum(pow(CAST(n AS DOUBLE), 0.5)) OVER () * sum(n) OVER () / n AS rate FROM n),
+draws AS (
+  SELECT d.*, r.rate, CAST(('0x' || substr(md5('17:' || CAST(d.doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u,
+         r.rate / greatest(1, ceil(r.rate / 16)) AS lam, i
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source,
+  LATERAL (SELECT unnest(range(1, CAST(greatest(1, ceil(r.rate / 16)) AS BIGINT) + 1)) AS i)
+),
+lams AS (SELECT DISTINCT lam FROM draws),
+terms(lam, k, p, cdf) AS (
+  SELECT lam, CAST(0 AS BIGINT), exp(-lam), exp(-lam) FROM lams
+  UNION ALL
+  SELECT lam, k + 1, p * lam / (k + 1), cdf + p * lam / (k + 1) FROM terms WHERE k < 96
+),
+counts AS (
+  SELECT doc_id, text, lang, source, n_chars, rate, CAST(sum((SELECT count(*) FROM terms t WHERE t.lam = w.lam AND t.k < 96 AND t.cdf <= w.u)) AS BIGINT) AS copies
+  FROM draws w GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, rate, copies, copy_no,
+       CAST(('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy_no AS VARCHAR)), 14, 13)) AS BIGINT) AS mix_key
+FROM counts, LATERAL (SELECT unnest(range(0, copies)) AS copy_no)
+"""
+
+OP4 = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS b))
+), bytes AS (
+  SELECT doc_id, text, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), hashed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, crc_table
+), walk(doc_id, key, b, j) AS (
+  SELECT DISTINCT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, k, j, CAST(floor((j + 1) * (2147483648.0 / CAST((k // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, b, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM walk WHERE j <= 16)
+), shards AS (
+  SELECT doc_id, CAST(max(CASE WHEN b < 16 THEN b END) AS INTEGER) AS shard, CAST(max(CASE WHEN b < 17 THEN b END) AS INTEGER) AS grown_shard FROM walk GROUP BY doc_id
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
+FROM hashed JOIN shards USING (doc_id)
+"""
+
+OP9 = rf"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+ORACLES: dict[str, str] = {"op2_exact_topk": OP2, "op3_mix_sources": OP3, "op4_jump_shards": OP4, "op9_exact_dedup": OP9}
