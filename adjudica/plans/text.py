@@ -59,9 +59,9 @@ def title_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", state.alias("state")).select("doc_id", F.sha2(title_and_abstract(F.col("state")), 256).alias("sha"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\b(?:with|from|para|pour)\\b')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^\\pL\\pN_])(?:with|from|para|pour)(?:$|[^\\pL\\pN_])')")
 def primacy_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?i)\b(?:with|from|para|pour)\b")).select("doc_id")
+    return read(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?iU)\b(?:with|from|para|pour)\b")).select("doc_id")
 
 
 @query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^(The|Les) ')")

@@ -14,7 +14,7 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def start_hourly(events: DataFrame, out: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
     """Appends each hour's totals to a Parquet table once the watermark has passed it; restarts go on where they were."""
-    marked = events.withWatermark("ts", late)
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     totals = marked.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flat = totals.select("event_type", F.col("window.start").alias("hour"), "n", "total")
     return flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
