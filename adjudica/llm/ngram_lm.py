@@ -226,10 +226,6 @@ class Filter:
             self.at[kind], self.size[kind] = np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
             self.field[kind] = np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), np.uint8)
 
-    def holds(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Where the key's segment is here."""
-        return self.size[kind][_shard(keys, self.shards)] > 0 if kind in self.size else np.zeros(len(keys), bool)
-
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The quantised level of each key, 0 if it isn't in: probes for 1, 2, ... until one fails."""
         found = np.zeros(len(keys), np.int64)
@@ -285,7 +281,8 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     sizes = [(r["kind"], r["shard"], r["size"]) for r in segments.select("kind", "shard", F.octet_length("bits").alias("size")).collect()]  # a row for each 32 MB of text
     always = sum(size for kind, _, size in sizes if kind != PAIR)
     passes, room = [[]], max(filter_bytes - always, filter_bytes // 4)
-    for _, shard, size in sorted(x for x in sizes if x[0] == PAIR):
+    of_pairs = dict.fromkeys(range(shards), 0) | {shard: size for kind, shard, size in sizes if kind == PAIR}  # every shard is in one pass, an empty one too
+    for shard, size in of_pairs.items():
         if passes[-1] and sum(s for _, s in passes[-1]) + size > room:
             passes.append([])
         passes[-1].append((shard, size))
@@ -306,7 +303,7 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
         for r in wanted.toLocalIterator():
             bits.setdefault(r["kind"], {})[r["shard"]] = bytes(r["bits"])
         field = context.broadcast(Filter(bits, shards))
-        parts.append(numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0), f"{numbered.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ')}, held boolean, row_no long, n_tokens long, n_known long, base_score double, score double"))
+        parts.append(numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{numbered.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ')}, held boolean, row_no long, n_tokens long, n_known long, base_score double, score double"))
         del bits
     scored = parts[0]
     if len(parts) > 1:
@@ -319,12 +316,13 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     return scored.select("doc_id", (~F.col("held")).alias("learned"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scorer(field, exact, n: int, v: int, first: bool):
-    """Arrow batches of (doc_id, held, row_no, text) -> scores; what a pass does not hold counts 0."""
+def _scorer(field, exact, n: int, v: int, first: bool, own: frozenset[int]):
+    """Arrow batches of (doc_id, held, row_no, text) -> scores; a word whose pair is of another pass's shard counts 0."""
     floor = n + ADDED * (v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_filter = field.value
+        in_pass = np.isin(np.arange(held_filter.shards), sorted(own))
         for batch in batches:
             texts, held = batch.column(3).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
             sizes, found = np.cumsum([len(t or "") for t in texts]), []
@@ -348,7 +346,7 @@ def _scorer(field, exact, n: int, v: int, first: bool):
                 kept = level_count(held_filter.levels(KEPT, words & _U(0xFFFFFFFF00000000)), LEAST_PAIR)
                 before = np.concatenate(([np.searchsorted(words, END)], of[:-1]))
                 pair = pair_keys(tokens)
-                here = held_filter.holds(PAIR, pair) if PAIR in held_filter.size else np.full(len(pair), first)
+                here = in_pass[_shard(pair, held_filter.shards)]
                 c_pair = level_count(held_filter.levels(PAIR, pair), LEAST_PAIR)
                 below = c_word[before] + MASS
                 # the quantised sum must leave the single words what the quantised pairs leave them, and never less than a hundredth
