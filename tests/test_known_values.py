@@ -184,3 +184,27 @@ def test_stream_totals_equal_batch_totals(spark, small, tmp_path):
     query.awaitTermination(120)
     rows = lambda df: sorted(map(tuple, df.select("event_type", F.col("hour").cast("string"), "n").collect()))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(totals.hourly(events))
+
+
+def test_files(spark, tmp_path):
+    from adjudica.sources import files
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    files.write_jsonl(rows, str(tmp_path / "lines"))
+    part = next((tmp_path / "lines").glob("part*"))
+    part.write_text(part.read_text() + "\n\n")
+    (tmp_path / "lines" / f".{part.name}.crc").unlink(missing_ok=True)
+    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "lines"), "id long, text string").collect()), key=str) == [(1, "a"), (2, None)]
+    hashes = files.file_hashes(spark, str(part)).first()
+    import hashlib
+
+    assert hashes["sha256"] == hashlib.sha256(part.read_bytes()).hexdigest()
+    table = files.markdown_table(spark.createDataFrame([("a", 0.5), ("b", None)], "k string, v double"))
+    assert table.splitlines() == ["| k | v |", "| --- | --- |", "| a | 0.500 |", "| b | — |"]
+    page = "x <!-- AUTO:t -->old<!-- /AUTO:t --> y"
+    once = files.replace_section(page, "t", table)
+    assert once.startswith("x ") and once.endswith(" y") and files.replace_section(once, "t", table) == once
+    with pytest.raises(ValueError, match="no section"):
+        files.replace_section(page, "u", "")
+    with pytest.raises(ValueError, match="at most"):
+        files.markdown_table(rows, limit=1)
