@@ -9,12 +9,12 @@ open bins is fixed; when one more is needed, the fullest closes.  Pieces of a wh
 from __future__ import annotations
 
 import base64
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,9 +27,16 @@ CAPACITY, END_ID = 1024, 2
 #: Open bins of one packing task, and the pieces dealt to it; memory of a task is bounded by both.
 OPEN_BINS, TASK_PIECES = 65_536, 100_000
 #: Words whose ids a worker keeps.
-CACHE = 400_000
-#: Texts with other white space than single inner spaces and line feeds are tokenised whole.
-_UNUSUAL = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+CACHE = 1_000_000
+
+
+def plain(text: str) -> bool:
+    """Whether a text's white space is single spaces and line feeds, each between other characters, and it has no other
+    unprintable ones; other texts are tokenised whole."""
+    edges = text[:1] + text[-1:]
+    doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    return bool(text) and not doubled and edges[0] not in " \n" and edges[-1] not in " \n" and text.replace("\n", "").isprintable()
+
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +45,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian uint32."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _WordIds(dict):
     """Word -> ids as little-endian uint32 bytes.  Byte-level BPE never merges over the boundary before a single space or
     line feed that stands between other characters, so a text's ids are those of its words, joined.
@@ -61,18 +76,18 @@ class _WordIds(dict):
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids_bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, key: str) -> bytes:
         word = key if key[:1] == "\n" else key[1:] if key[:1] == "\t" else " " + key
-        ids = np.array(self.fast(word), "<u4").tobytes() if self.fast and max(word) < "ɐ" else self.encode(word)
+        ids = ids_bytes(self.fast(word)) if self.fast and (word.isascii() or max(word) < "ɐ") else self.encode(word)
         if len(self) >= CACHE:
             self.clear()
         self[key] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if not text or _UNUSUAL.search(text) or any(s in text for s in self.special):
+        if not plain(text) or any(s in text for s in self.special):
             return self.encode(text)
         return b"".join(map(self.__getitem__, ("\t" + text.replace("\n", " \n")).split(" ")))
 
@@ -110,7 +125,7 @@ def token_pieces(
     schema = T.StructType([read.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32"))])
     if with_ids:
         schema.add("ids", T.BinaryType())
-    end = np.array([END_ID], "<u4").tobytes()
+    end = ids_bytes([END_ID])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path, ranks_path)
