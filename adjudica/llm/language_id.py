@@ -142,9 +142,6 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
     if there are none.  At most ``rows_a_class`` rows of a label (about; twice that at most) and ``WINDOWS_A_ROW`` evenly
     spaced windows of a row are read to the driver."""
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & letters(F.col(text_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sample, labels = sample_classes(rows, "lang", F.col("id"), rows_a_class)
-    if not labels:
-        return None
 
     @F.pandas_udf(T.ArrayType(T.BinaryType()))
     def spaced(texts: pd.Series) -> pd.Series:
@@ -154,7 +151,10 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
             picked.append([windows[k].tobytes() for k in np.unique(np.linspace(0, len(windows) - 1, WINDOWS_A_ROW).astype(int))])
         return pd.Series(picked)
 
-    found = sample.select("lang", spaced("text").alias("windows")).toPandas()
+    sample, labels = sample_classes(rows, "lang", F.col("id"), rows_a_class, lambda chosen: chosen.select("lang", "id", spaced("text").alias("windows")))
+    if not labels:
+        return None
+    found = sample.toPandas()
     windows = np.frombuffer(b"".join(w for ws in found["windows"] for w in ws), np.uint8).reshape(-1, WINDOW)
     classes = np.repeat([labels.index(x) for x in found["lang"]], [len(w) for w in found["windows"]])
     return fit(windows, classes, labels, seed)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.llm.shared import small
+from adjudica.llm.shared import materialise, small
 
 #: A mean above this is drawn as the sum of several equal parts, so that exp(-mean) stays far from underflow.
 PART = 16.0
@@ -52,15 +52,16 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     Without ``weights`` the target is the present share to the power ``alpha``, normalised.  With ``weights``, sources
     that are not named have the target 0 and leave the mix; the weights of sources that are present are normalised.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    counts = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")), "mix-sources")
     if weights is None:
         counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
     else:
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
         counts = counts.withColumn("w", F.coalesce(given[F.col("source")], F.lit(0.0)))
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))  # one row
-    rate = F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n") * F.lit(float(size))
-    return counts.join(F.broadcast(total), F.lit(True)).select("source", F.coalesce(F.try_divide(rate, F.lit(1.0)), F.lit(0.0)).alias("rate"))
+    all_n, all_w = counts.agg(F.sum("n"), F.sum("w")).first()
+    if not all_w:  # no rows, or no weight for any source that is there
+        return counts.select("source", F.lit(0.0).alias("rate"))
+    return counts.select("source", (F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") * F.lit(float(size))).alias("rate"))
 
 
 def mix_sources(

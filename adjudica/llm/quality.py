@@ -120,7 +120,8 @@ def grow(rows: np.ndarray, labels: np.ndarray) -> BoostedTrees:
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", *, rows_a_class: int = ROWS_A_CLASS) -> BoostedTrees | None:
     """Trees learned from the labelled rows where ``learn_from`` (over ``id_col`` of the labels) holds; None without any.
 
-    A bounded sample of labels picks the rows (``rows_a_class`` a label, about); only their statistics reach the driver.
+    A bounded sample of labels picks the rows (``rows_a_class`` a label, about, and four times that at most with ids that
+    repeat); only their statistics reach the driver.
     Null labels and labels other than 0 and 1 are passed over; a label row that repeats counts again; a null text is empty.
     """
     known = labels.where(learn_from & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str
         return pd.Series([statistics(t or "") for t in texts])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(small(sample, limit=4 * rows_a_class), "id").select("label", measured("text").alias("x"), "id").orderBy("id", "label").toPandas()
+    found = texts.join(small(sample, limit=4 * rows_a_class), "id").select("label", measured("text").alias("x"), "id").orderBy("id", "label").limit(8 * rows_a_class).toPandas()
     if found.empty:
         return None
     return grow(np.stack(found["x"]), found["label"].to_numpy(np.float64))

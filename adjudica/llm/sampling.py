@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from pyspark.sql import functions as F
 MOST_CLASSES = 1000
 
 
-def sample_classes(rows: DataFrame, class_col: str, key: Column, per_class: int) -> tuple[DataFrame, list]:
+def sample_classes(rows: DataFrame, class_col: str, key: Column, per_class: int, project: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, list]:
     """At most about ``per_class`` rows of each class of ``rows`` (all, where a class has fewer), chosen by a hash of
     ``key``, and the sorted class values.
 
     The classes are counted over all rows, which reads only ``class_col``; the fraction that each class needs then filters
-    the hash, so no row is sorted or shuffled.  Rows that repeat a key are chosen together; twice ``per_class`` rows a
-    class, taken in hash order, is the hard bound that the caller's ``limit`` sets.
+    the hash, so only rows of the sample move.  Rows that repeat a key are chosen together, so the rows of smallest hash,
+    twice ``per_class`` for each class, are the hard bound.  ``project`` is applied to the chosen rows before that, and
+    keeps the columns of ``key``: what a sample does not need, such as long texts, never leaves its task.
     """
     counts = rows.groupBy(class_col).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
     if len(counts) > MOST_CLASSES:
@@ -24,4 +27,4 @@ def sample_classes(rows: DataFrame, class_col: str, key: Column, per_class: int)
     wanted = F.lit(False)
     for row in counts:
         wanted = wanted | ((F.col(class_col) == F.lit(row[0])) & (share < F.lit(min(1.0, per_class / row["n"]))))
-    return rows.where(wanted).orderBy(share, key).limit(2 * per_class * max(1, len(counts))), sorted(row[0] for row in counts)
+    return project(rows.where(wanted)).orderBy(share, key).limit(2 * per_class * max(1, len(counts))), sorted(row[0] for row in counts)

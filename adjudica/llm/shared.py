@@ -20,13 +20,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_folder(spark)}/adjudica-tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes this application's tables, once no result that reads them is wanted any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it again.
 
     This cuts the lineage with files that outlive any executor, and fixes what a non-deterministic expression
     (a row number given at the scan) has returned.
     """
-    path = f"{shared_folder(df.sparkSession)}/adjudica-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
