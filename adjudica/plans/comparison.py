@@ -202,8 +202,10 @@ def clopper_pearson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance of as many toxic labels or more as there are, if each answer's probability were right."""
-    by_phase = tables.binary(spark, sf_dir).where("qid = 'toxic' AND NOT err").groupBy("run", "phase")
-    return by_phase.agg(F.collect_list("value").alias("ps"), F.sum("gt").alias("k")).select("run", "phase", "k", poisson_binomial_sf("ps", "k").alias("p"))
+    answers = tables.binary(spark, sf_dir).where("qid = 'toxic' AND NOT err")
+    folded = answers.groupBy("run", "phase", "value").agg(F.count("*").alias("n"), F.sum("gt").alias("k"))
+    by_phase = folded.groupBy("run", "phase").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("x"), F.sum("k").alias("k"))
+    return by_phase.select("run", "phase", "k", poisson_binomial_sf("x.value", "x.n", "k").alias("p"))
 
 
 @query(VIEWS + """, o AS (SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY run) AS n FROM v_records WHERE NOT err)

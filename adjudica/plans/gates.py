@@ -88,12 +88,11 @@ def rotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT conv_id, sum(length(text)) AS completion, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS prompt, count(*) AS attempts FROM conversations GROUP BY conv_id) SELECT count(*) AS cases, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(completion - prompt) AS BIGINT) AS completion, CAST(max(attempts) AS BIGINT) AS most_attempts FROM a")
 def usage_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens over nested attempts; a missing count is nought."""
-    attempt = F.struct(F.when(F.col("role") == "user", F.char_length("text")).alias("prompt"), F.when(F.col("role") != "user", F.char_length("text")).alias("completion"))
-    nested = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(attempt).alias("raw"))
-    total = lambda f: F.aggregate("raw", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x[f], F.lit(0)))
-    each = nested.select(total("prompt").alias("prompt"), total("completion").alias("completion"), F.size("raw").alias("attempts"))
-    return each.agg(F.count("*").alias("cases"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.max("attempts").cast("long").alias("most_attempts"))
+    """Tokens over a case's attempts; a missing count is nought."""
+    used, asks = F.coalesce(F.char_length("text"), F.lit(0)), F.col("role") == "user"
+    part = lambda which: F.sum(F.when(which, used).otherwise(0))
+    each = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(part(asks).alias("prompt"), part(~asks).alias("completion"), F.count("*").alias("attempts"))
+    return each.agg(F.count("*").alias("cases"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.max("attempts").alias("most_attempts"))
 
 
 @query("SELECT doc_id, CASE WHEN a AND b THEN 've' WHEN NOT a AND NOT b THEN 'no ve' ELSE 'parcial' END AS verdict FROM (SELECT doc_id, regexp_matches(text, 'the') AS a, regexp_matches(text, 'and') AS b FROM documents)")

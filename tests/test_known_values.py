@@ -61,10 +61,10 @@ def test_clopper_pearson(spark):
 
 
 def test_poisson_binomial(spark):
-    rows = spark.createDataFrame([([0.5] * 3, 2), ([0.5] * 3, 0), ([0.2, 0.5, 0.7], 2)], "p array<double>, k long")
-    found = [r[0] for r in rows.select(intervals.poisson_binomial_sf("p", "k")).collect()]
+    rows = spark.createDataFrame([([0.5], [3], 2), ([0.5], [3], 0), ([0.2, 0.5, 0.7], [1, 1, 1], 2), ([0.0, 1.0], [4, 2], 2)], "p array<double>, n array<long>, k long")
+    found = [r[0] for r in rows.select(intervals.poisson_binomial_sf("p", "n", "k")).collect()]
     brute = sum(math.prod(p if hit else 1 - p for p, hit in zip((0.2, 0.5, 0.7), hits, strict=True)) for hits in itertools.product((0, 1), repeat=3) if sum(hits) >= 2)
-    assert found == pytest.approx([0.5, 1.0, brute])
+    assert found == pytest.approx([0.5, 1.0, brute, 1.0])
 
 
 def test_newcombe(spark):
