@@ -27,7 +27,7 @@ LABELLED_PAGES = 500
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*+|[^<>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME_PART = re.compile(r"[a-z]+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; it ends at their end tag.
@@ -39,9 +39,11 @@ BOILERPLATE = frozenset("nav footer aside form button select dialog menu head fi
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login "
-    "masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related "
+    "alert announcement masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related "
     "reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Ends of names such as "subnav" or "sitefooter".
+ENDINGS = ("nav", "footer", "sidebar", "banner", "menu", "comments", "advert")
 #: A class such as "page-header" is no content outside an article, and may hold its title inside.
 OUTER_HINTS = frozenset("header topbar".split())
 #: An open element that a start tag of the key ends.
@@ -75,14 +77,15 @@ def _noise(name: str, attributes: str, in_content: bool) -> bool:
     if not attributes or name in ("html", "body", "main"):
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
+        key, names = key.lower(), a or b or c
+        value = names.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return True
         if key == "role" and value.strip() in ROLES:
             return True
         if key in ("class", "id"):
-            parts = _NAME_PART.findall(value)
-            if not HINTS.isdisjoint(parts) or not (in_content or OUTER_HINTS.isdisjoint(parts)):
+            parts = [p.lower() for p in _NAME_PART.findall(names)]
+            if any(p in HINTS or p.endswith(ENDINGS) for p in parts) or not (in_content or OUTER_HINTS.isdisjoint(parts)):
                 return True
     return False
 

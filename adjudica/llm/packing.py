@@ -122,7 +122,7 @@ def token_pieces(
     path = path or vocabulary()
     ranks_path = ranks_path or (vocabulary("byte_bpe_50k.tiktoken") if own else None)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([read.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32"))])
+    schema = T.StructType([read.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
     if with_ids:
         schema.add("ids", T.BinaryType())
     end = ids_bytes([END_ID])
@@ -137,8 +137,9 @@ def token_pieces(
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append(row)
                     found.append((piece, start, length, zlib.crc32(part), *([part] if with_ids else ())))
-            columns = [pa.array(c) for c in zip(*found, strict=True)]
             if rows:
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names=schema.names)
 
     return read.mapInArrow(pieces, schema)

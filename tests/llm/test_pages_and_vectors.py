@@ -34,6 +34,7 @@ HARD = [
     (f"<body><header><p>Site name and slogan</p></header><p>{WORDS}</p><p>{WORDS}</p><footer><p>{WORDS}</p></footer>", f"{WORDS}\n{WORDS}"),
     (f"<p>{WORDS} 3 < 4 and <b>bold</b>er</p>", f"{WORDS} 3 < 4 and bolder"),
     ("<div role=banner><p>Cookies are used on this site for many purposes</p></div><article><p>Short.</p></article>", "Short."),
+    (f"<div class=pageBody><div class='siteFooterLinks x'><p>{WORDS} {WORDS}</p></div><div id=topnav>{WORDS} {WORDS}</div><article class=post><p>{WORDS}</p></article></div>", WORDS),
     ("<script>" + "never closed ", ""),
     ("<p>" + "word " * 50_000 + "</p>", ("word " * 50_000).strip()),
 ]
