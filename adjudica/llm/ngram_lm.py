@@ -12,9 +12,10 @@ Scoring: probing an n-gram for level 1, 2, ... until a probe fails gives its qua
 where c(h, w) counts pairs seen twice or more, kept(h) is their sum over w, and so what pairs do not hold goes to the
 single words: nothing is counted twice.  The text starts after an end token and ends with one.
 
-If the filter is larger than a broadcast may be, pair segments go out in several passes; a word is scored in the pass that
-holds its pair, and a document's parts are summed.  The same exact counts that give the base score are broadcast too if
-they are few, and joined by a shuffle if not.
+If the filter is larger than a broadcast may be, pair segments go out in a few passes; a word is scored in the pass that
+holds its pair, and a document's parts are summed.  The exact counts that give the base score are broadcast too.  Where
+either would be more than its bound, nothing is broadcast: texts are gathered in lots, each lot sends its distinct keys to
+the shards they belong to, and the answers come back to the lot.  Both ways return the same scores.
 """
 
 from __future__ import annotations
@@ -36,11 +37,14 @@ MASS, ADDED, LEAST_PAIR = 10.0, 0.5, 2
 RATIO, ENTRY_BITS, PROBES = 1.5, 10, 6
 #: Bytes of text for each counting shard; bytes that a filter broadcast and words that an exact broadcast may have.
 SHARD_BYTES, FILTER_BYTES, EXACT_WORDS = 32_000_000, 96_000_000, 4_000_000
+#: Passes over the texts that a broadcast filter may take; beyond that keys go to the shards.
+MOST_PASSES = 4
 #: Bytes hashed at a time, and hashes folded at a time, in a task.
 SEGMENT, FOLD = 2_000_000, 3_000_000
 
 WORD, HELD, PAIR, KEPT = 0, 1, 2, 3
 _U = np.uint64
+_FIRST = _U(0xFFFFFFFF00000000)
 END = _U(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -102,7 +106,7 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def pair_keys(tokens: np.ndarray) -> np.ndarray:
     """Key of each token with the one before it (END before the first): the upper half tells the first word."""
     before = np.concatenate(([END], tokens[:-1]))
-    return (before & _U(0xFFFFFFFF00000000)) | (_mix(before * _U(3) + tokens) >> _U(32))
+    return (before & _FIRST) | (_mix(before * _U(3) + tokens) >> _U(32))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -124,13 +128,14 @@ BLOCK = "kind int, shard int, keys binary, counts binary"
 
 
 def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple]:
+    """(kind, shard, keys, counts) of each shard that has any; counts keep their type."""
     of = _shard(keys, shards)
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(shards + 1))
     for s in range(shards):
         pick = order[bounds[s] : bounds[s + 1]]
         if len(pick):
-            yield kind, s, keys[pick].tobytes(), counts[pick].astype(np.uint32).tobytes()
+            yield kind, s, keys[pick].tobytes(), counts[pick].tobytes()
 
 
 def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -147,14 +152,14 @@ def count_blocks(docs: DataFrame, shards: int) -> DataFrame:
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             for kind, parts in waiting.items():
                 if parts and sum(map(len, parts)) >= least:
-                    for block in _blocks(kind, *_fold(np.concatenate(parts)), shards):
+                    keys, counts = _fold(np.concatenate(parts))
+                    for block in _blocks(kind, keys, counts.astype(np.uint32), shards):
                         yield _record([block], ["kind", "shard", "keys", "counts"])
                     parts.clear()
 
         for batch in batches:
             texts, held = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            sizes = np.cumsum([len(t or "") for t in texts])
-            for part in np.split(np.arange(len(texts)), np.searchsorted(sizes, np.arange(SEGMENT, sizes[-1] if len(sizes) else 0, SEGMENT))):
+            for part in _spans(texts):
                 tokens, counts = hashed([texts[k] for k in part])
                 learn = np.repeat(~held[part], counts)
                 waiting[WORD].append(tokens[learn])
@@ -205,15 +210,15 @@ def _merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _fold(*load(pdf[pdf["kind"] == WORD]))
     held = np.unique(load(pdf[pdf["kind"] == HELD])[0])
     wanted = (counts > 1) | np.isin(keys, held)
-    return pd.DataFrame([(WORD, pdf["shard"].iloc[0], counts.sum(), len(keys), wanted.sum(), keys[wanted].tobytes(), counts[wanted].astype(np.uint32).tobytes(), _segment(keys, level(counts, 1)))], columns=[c.split()[0] for c in SHARD.split(", ")])
+    return pd.DataFrame([(WORD, pdf["shard"].iloc[0], counts.sum(), len(keys), wanted.sum(), keys[wanted].tobytes(), counts[wanted].tobytes(), _segment(keys, level(counts, 1)))], columns=[c.split()[0] for c in SHARD.split(", ")])
 
 
 def _merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard of pairs: the filter segment, and how often the kept pairs have each first word."""
     keys, counts = _fold(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64))
     keys, counts = keys[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
-    first, sums = _fold(keys & _U(0xFFFFFFFF00000000), counts)
-    return pd.DataFrame([(PAIR, pdf["shard"].iloc[0], counts.sum(), len(keys), len(first), first.tobytes(), sums.astype(np.uint32).tobytes(), _segment(keys, level(counts, LEAST_PAIR)))], columns=[c.split()[0] for c in SHARD.split(", ")])
+    first, sums = _fold(keys & _FIRST, counts)
+    return pd.DataFrame([(PAIR, pdf["shard"].iloc[0], counts.sum(), len(keys), len(first), first.tobytes(), sums.tobytes(), _segment(keys, level(counts, LEAST_PAIR)))], columns=[c.split()[0] for c in SHARD.split(", ")])
 
 
 class Filter:
@@ -227,28 +232,33 @@ class Filter:
             self.field[kind] = np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), np.uint8)
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """The quantised level of each key, 0 if it isn't in: probes for 1, 2, ... until one fails."""
-        found = np.zeros(len(keys), np.int64)
+        """The quantised level of each key, 0 if it isn't in."""
         if kind not in self.size:
-            return found
+            return np.zeros(len(keys), np.int64)
         shard = _shard(keys, self.shards)
-        left, at_level = np.flatnonzero(self.size[kind][shard] > 0), 1
-        while len(left):
-            size, start = self.size[kind][shard[left]].astype(np.uint64), self.at[kind][shard[left]]
-            for probe in range(PROBES):
-                bit = _probe_bits(keys[left], np.full(len(left), at_level), probe, size).astype(np.int64) + start
-                is_in = (self.field[kind][bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                left, size, start = left[is_in], size[is_in], start[is_in]
-            found[left] = at_level
-            at_level += 1
-        return found
+        return probed(self.field[kind], keys, self.size[kind][shard], self.at[kind][shard])
+
+
+def probed(field: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Levels of the keys, each looked up in the ``size`` bits of ``field`` from ``start``: probes for 1, 2, ... until one
+    fails."""
+    found, left, at_level = np.zeros(len(keys), np.int64), np.flatnonzero(size > 0), 1
+    while len(left):
+        own_size, own_start = size[left].astype(np.uint64), start[left]
+        for probe in range(PROBES):
+            bit = _probe_bits(keys[left], np.full(len(left), at_level), probe, own_size).astype(np.int64) + own_start
+            is_in = (field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            left, own_size, own_start = left[is_in], own_size[is_in], own_start[is_in]
+        found[left] = at_level
+        at_level += 1
+    return found
 
 
 def _log_base(counts: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((counts + 1) / (n + v + 1))
 
 
-def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", *, filter_bytes: int = FILTER_BYTES, exact_words: int = EXACT_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", *, filter_bytes: int = FILTER_BYTES, exact_words: int = EXACT_WORDS, shard_bytes: int = SHARD_BYTES, most_passes: int = MOST_PASSES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, learned, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, and one end for each text; a null text has the end
@@ -267,11 +277,11 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                for block in _blocks(KEPT, np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.uint32), shards):
+                for block in _blocks(KEPT, np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64), shards):
                     yield _record([block], ["kind", "shard", "keys", "counts"])
 
     def merge_kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _fold(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64))
+        keys, counts = _fold(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.int64) for c in pdf["counts"]]))
         return pd.DataFrame([(KEPT, pdf["shard"].iloc[0], 0, len(keys), 0, b"", b"", _segment(keys, level(counts, LEAST_PAIR)))], columns=[c.split()[0] for c in SHARD.split(", ")])
 
     kept = materialise(merged.where(F.col("kind") == PAIR).select("keys", "counts").mapInArrow(scatter, BLOCK).groupBy("shard").applyInPandas(merge_kept, SHARD), "lm-kept")
@@ -279,23 +289,29 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     n, v, n_exact = ((sums[WORD][k] for k in ("tokens", "types", "n_keys")) if WORD in sums else (0, 0, 0))
     segments = merged.select("kind", "shard", "bits").unionByName(kept.select("kind", "shard", "bits"))
     sizes = [(r["kind"], r["shard"], r["size"]) for r in segments.select("kind", "shard", F.octet_length("bits").alias("size")).collect()]  # a row for each 32 MB of text
-    always = sum(size for kind, _, size in sizes if kind != PAIR)
-    passes, room = [[]], max(filter_bytes - always, filter_bytes // 4)
+    room = filter_bytes - sum(size for kind, _, size in sizes if kind != PAIR)  # words and histories go out in every pass
+    passes = [[]]
     of_pairs = dict.fromkeys(range(shards), 0) | {shard: size for kind, shard, size in sizes if kind == PAIR}  # every shard is in one pass, an empty one too
     for shard, size in of_pairs.items():
         if passes[-1] and sum(s for _, s in passes[-1]) + size > room:
             passes.append([])
         passes[-1].append((shard, size))
+    fits = max(sum(s for _, s in own) for own in passes) <= room and len(passes) <= most_passes
 
-    context = docs.sparkSession.sparkContext
-    exact = None
-    if n_exact <= exact_words:
-        rows = merged.where(F.col("kind") == WORD).select("keys", "counts").toPandas()
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]] or [np.zeros(0, np.uint64)])
-        order = np.argsort(keys)
-        exact = context.broadcast((keys[order], np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]] or [np.zeros(0, np.uint32)])[order]))
-        del rows, keys, order
     numbered = read.select("doc_id", "held", F.monotonically_increasing_id().alias("row_no"), "text")
+    columns = ["doc_id", (~F.col("held")).alias("learned"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
+    if n_exact > exact_words or not fits:
+        return _asked_scores(numbered, merged, kept, shards, n, v).select(*columns)
+
+    context = docs.sparkSession.sparkContext
+    rows = merged.where(F.col("kind") == WORD).select("keys", "counts").toPandas()
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]] or [np.zeros(0, np.uint64)])
+    counts = np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]] or [np.zeros(0, np.int64)])
+    order = np.argsort(keys)
+    exact = context.broadcast((keys[order], counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))))
+    del rows, keys, counts, order
+    if len(passes) > 1:  # parts of a row meet again by its number
+        numbered = materialise(numbered, "lm-rows")
     parts = []
     for number, own in enumerate(passes):
         wanted = segments.where((F.col("kind") != PAIR) | F.col("shard").isin([s for s, _ in own]))
@@ -303,81 +319,151 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
         for r in wanted.toLocalIterator():
             bits.setdefault(r["kind"], {})[r["shard"]] = bytes(r["bits"])
         field = context.broadcast(Filter(bits, shards))
-        parts.append(numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{numbered.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ')}, held boolean, row_no long, n_tokens long, n_known long, base_score double, score double"))
+        parts.append(numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{_ddl(numbered, 'doc_id')}, held boolean, row_no long, {SCORES}"))
         del bits
     scored = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
             scored = scored.unionByName(part)
         scored = scored.groupBy("row_no").agg(F.first("doc_id", True).alias("doc_id"), F.first("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    if exact is None:
-        based = _joined_base(numbered, merged, n, v)
-        scored = scored.drop("n_known", "base_score").join(based, "row_no")
-    return scored.select("doc_id", (~F.col("held")).alias("learned"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(*columns)
+
+
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _ddl(df: DataFrame, *columns: str) -> str:
+    """The columns of ``df`` with their types, as a schema string."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _spans(texts: list[str | None]) -> list[np.ndarray]:
+    """Places of the texts, in order and in parts of about ``SEGMENT`` characters; a longer text is a part of its own."""
+    sizes = np.cumsum([len(t or "") for t in texts])
+    parts = np.split(np.arange(len(texts)), np.searchsorted(sizes, np.arange(SEGMENT, sizes[-1] if len(sizes) else 0, SEGMENT)))
+    return [part for part in parts if len(part)]
+
+
+def _known_counts(count: np.ndarray, of: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Exact count of each token: words seen once are kept only for held-out texts, so a learned text's own are once."""
+    return np.where(np.repeat(~held, counts) & (count[of] == 0), 1, count[of])
+
+
+def _token_probabilities(tokens: np.ndarray, words: np.ndarray, of: np.ndarray, pairs: np.ndarray, levels, n: int, v: int) -> np.ndarray:
+    """p(w | h) of each token; ``levels(kind, keys)`` gives quantised levels, and ``of`` the place in the sorted ``words``."""
+    single_count = level_count(levels(WORD, words), 1)
+    single = (single_count + ADDED) / (n + ADDED * (v + 1))
+    kept = level_count(levels(KEPT, words & _FIRST), LEAST_PAIR)
+    before = np.concatenate(([np.searchsorted(words, END)], of[:-1]))
+    pair = level_count(levels(PAIR, pairs), LEAST_PAIR)
+    below = single_count[before] + MASS
+    # the quantised sum must leave the single words what the quantised pairs leave them, and never less than a hundredth
+    rest = np.maximum(1 - np.minimum(kept[before], single_count[before]) / below, 0.01)
+    return np.minimum(np.minimum(pair, single_count[before]) / below + rest * single[of], 1.0)
 
 
 def _scorer(field, exact, n: int, v: int, first: bool, own: frozenset[int]):
     """Arrow batches of (doc_id, held, row_no, text) -> scores; a word whose pair is of another pass's shard counts 0."""
-    floor = n + ADDED * (v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_filter = field.value
         in_pass = np.isin(np.arange(held_filter.shards), sorted(own))
         for batch in batches:
-            texts, held = batch.column(3).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            sizes, found = np.cumsum([len(t or "") for t in texts]), []
-            for part in np.split(np.arange(len(texts)), np.searchsorted(sizes, np.arange(SEGMENT, sizes[-1] if len(sizes) else 0, SEGMENT))):
-                if not len(part):
-                    continue
+            texts, held, found = batch.column(3).to_pylist(), np.array(batch.column(1).to_pylist(), bool), []
+            for part in _spans(texts):
                 tokens, counts = hashed([texts[k] for k in part])
                 begin = np.cumsum(counts) - counts
                 words, of = np.unique(tokens, return_inverse=True)
-                add = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
                 known, base = np.zeros(len(part), np.int64), np.zeros(len(part))
                 if exact is not None:
                     keys, exact_counts = exact.value
                     at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
                     c = np.where(keys[at] == words, exact_counts[at], 0).astype(np.int64) if len(keys) else np.zeros(len(words), np.int64)
-                    learned = np.repeat(~held[part], counts)
-                    c = np.where(learned & (c[of] == 0), 1, c[of])  # words seen once are kept only for held-out texts
-                    known, base = add((c > 0).astype(np.int64)), add(_log_base(c, n, v))
-                c_word = level_count(held_filter.levels(WORD, words), 1)
-                single = (c_word + ADDED) / floor
-                kept = level_count(held_filter.levels(KEPT, words & _U(0xFFFFFFFF00000000)), LEAST_PAIR)
-                before = np.concatenate(([np.searchsorted(words, END)], of[:-1]))
-                pair = pair_keys(tokens)
-                here = in_pass[_shard(pair, held_filter.shards)]
-                c_pair = level_count(held_filter.levels(PAIR, pair), LEAST_PAIR)
-                below = c_word[before] + MASS
-                # the quantised sum must leave the single words what the quantised pairs leave them, and never less than a hundredth
-                rest = np.maximum(1 - np.minimum(kept[before], c_word[before]) / below, 0.01)
-                p = np.minimum(np.minimum(c_pair, c_word[before]) / below + rest * single[of], 1.0)
-                found.append(np.stack([counts * first, known, base, add(np.where(here, np.log10(p), 0.0))]))
+                    c = _known_counts(c, of, held[part], counts)
+                    known, base = np.add.reduceat((c > 0).astype(np.int64), begin), np.add.reduceat(_log_base(c, n, v), begin)
+                pairs = pair_keys(tokens)
+                p = _token_probabilities(tokens, words, of, pairs, held_filter.levels, n, v)
+                here = in_pass[_shard(pairs, held_filter.shards)]
+                found.append(np.stack([counts * first, known, base, np.add.reduceat(np.where(here, np.log10(p), 0.0), begin)]))
             values = np.concatenate(found, 1) if found else np.zeros((4, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values[0].astype(np.int64)), pa.array(values[1].astype(np.int64)), pa.array(values[2]), pa.array(values[3])], names=["doc_id", "held", "row_no", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
 
-def _joined_base(numbered: DataFrame, merged: DataFrame, n: int, v: int) -> DataFrame:
-    """(row_no, n_known, base_score) by joining each row's distinct words with the exact counts."""
+def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shards: int, n: int, v: int) -> DataFrame:
+    """Scores of ``numbered`` without a broadcast: distinct keys of each lot go to their shards and come back answered.
+
+    A task holds one shard, or one lot of texts with its answers; a word that every text has is asked once for a lot.
+    """
 
-    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, row_no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, times = np.unique(hashed([text])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row_no)), pa.array([held] * len(words)), pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], names=["row_no", "held", "word", "times"])
+            for part in _spans(batch.column(3).to_pylist()):
+                cut = batch.slice(part[0], len(part))
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(np.full(len(part), cut.column(2)[0].as_py(), np.int64))], names=["doc_id", "held", "row_no", "text", "lot"])
+
+    lots = materialise(numbered.mapInArrow(in_lots, f"{_ddl(numbered, 'doc_id', 'held', 'row_no', 'text')}, lot long"), "lm-lots")
 
-    def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))], names=["word", "c"])
+            texts, lot = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(lot)) + 1), len(lot)]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin == end:
+                    continue
+                tokens, _ = hashed(texts[begin:end])
+                for kind, keys in ((WORD, np.unique(tokens)), (KEPT, np.unique(tokens & _FIRST)), (PAIR, np.unique(pair_keys(tokens)))):
+                    blocks = list(_blocks(kind, keys, np.zeros(len(keys), np.uint8), shards))
+                    yield pa.RecordBatch.from_arrays([pa.array([lot[begin]] * len(blocks), pa.int64()), *(pa.array([b[k] for b in blocks], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], names=["lot", "kind", "shard", "keys"])
 
-    rows = numbered.select("held", "row_no", "text").mapInArrow(of_rows, "row_no long, held boolean, word long, times long")
-    counts = merged.where(F.col("kind") == WORD).select("keys", "counts").mapInArrow(of_shards, "word long, c long")
-    c = F.coalesce("c", F.when(F.col("held"), 0).otherwise(1))
-    each = F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))
-    return rows.join(counts, "word", "left").groupBy("row_no").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(each).alias("base_score"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the shard at hand: its name, bits, exact keys and counts, sorted
+        for batch in batches:
+            rows = []
+            for lot, kind, shard, keys, counts, bits in zip(*(c for c in batch.columns), strict=True):
+                name, keys = (kind.as_py(), shard.as_py()), np.frombuffer(keys.as_py(), np.uint64)
+                if bits.is_valid:
+                    exact = (keys, np.frombuffer(counts.as_py(), np.int64)) if name[0] == WORD else None
+                    held = (name, np.frombuffer(bits.as_py(), np.uint8), exact)
+                    continue
+                found, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+                if held and held[0] == name:
+                    found = probed(held[1], keys, np.full(len(keys), len(held[1]) * 8), np.zeros(len(keys), np.int64))
+                    if held[2] and len(held[2][0]):
+                        at = np.minimum(np.searchsorted(held[2][0], keys), len(held[2][0]) - 1)
+                        count = np.where(held[2][0][at] == keys, held[2][1][at], 0)
+                rows.append((lot.as_py(), name[0], keys.tobytes(), found.astype(np.uint8).tobytes(), count.tobytes() if name[0] == WORD else b""))
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["lot", "kind", "keys", "levels", "counts"])
+
+    asked = lots.select("lot", "text").mapInArrow(ask, "lot long, kind int, shard int, keys binary")
+    asked = asked.select("*", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("bits"))
+    held = [df.select(F.lit(None).cast("long").alias("lot"), "kind", "shard", "keys", "counts", "bits") for df in (merged, kept)]
+    met = asked.unionByName(held[0]).unionByName(held[1]).repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.col("bits").isNull())
+    answers = met.mapInArrow(answer, "lot long, kind int, keys binary, levels binary, counts binary")
+
+    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("row_no")
+        tables = {}
+        for kind in (WORD, KEPT, PAIR):
+            rows = known[known["kind"] == kind]
+            load = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]] or [np.zeros(0, t)])  # noqa: E731, B023
+            keys = load("keys", np.uint64)
+            order = np.argsort(keys)
+            tables[kind] = keys[order], load("levels", np.uint8)[order].astype(np.int64), load("counts", np.int64)[order] if kind == WORD else None
+        tokens, counts = hashed(texts["text"].tolist())
+        begin = np.cumsum(counts) - counts
+        words, of = np.unique(tokens, return_inverse=True)
+        look_up = lambda kind, keys: tables[kind][1][np.searchsorted(tables[kind][0], keys)]
+        p = _token_probabilities(tokens, words, of, pair_keys(tokens), look_up, n, v)
+        c = _known_counts(tables[WORD][2][np.searchsorted(tables[WORD][0], words)], of, texts["held"].to_numpy(bool), counts)
+        made = {"n_tokens": counts, "n_known": np.add.reduceat((c > 0).astype(np.int64), begin), "base_score": np.add.reduceat(_log_base(c, n, v), begin), "score": np.add.reduceat(np.log10(p), begin)}
+        return pd.DataFrame({"row_no": texts["row_no"], **made})
+
+    scored = lots.select("lot", "row_no", "held", "text").groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(score, f"row_no long, {SCORES}")
+    return lots.select("doc_id", "held", "row_no").join(scored, "row_no")
 
 
 def lm_scores(docs: DataFrame, **options) -> DataFrame:

@@ -100,11 +100,11 @@ def tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w] + [None]
 
 
-@pytest.mark.parametrize("options", [{}, {"exact_words": 0}, {"shard_bytes": 20_000, "filter_bytes": 2_000}])
+@pytest.mark.parametrize("options", [{}, {"exact_words": 0}, {"shard_bytes": 20_000, "filter_bytes": 40_000}, {"shard_bytes": 20_000, "filter_bytes": 2_000}, {"shard_bytes": 20_000, "most_passes": 0}])
 def test_lm_scores(odd, odd_rows, options):
     """Base scores against loops; the model against its formula on exact counts, up to the quantisation of counts.
 
-    Also with the counts joined instead of broadcast, and with the filter in several passes.
+    Also in several passes, and without a broadcast, where too many words, too large a filter or too many passes forbid it.
     """
     rows = [(r[0], tokens(r[1])) for r in odd_rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -145,6 +145,13 @@ def test_lm_scores(odd, odd_rows, options):
     assert sum(got.values()) == pytest.approx(sum(exact.values()), rel=0.05)
 
 
+def test_lm_without_broadcast_is_the_same(odd):
+    """Keys asked of their shards give the scores of the broadcast filter, row for row, with few and many shards."""
+    for shard_bytes in (5_000, 1_000_000):
+        plain, asked = (sorted(map(str, ngram_lm.lm_scores(odd, shard_bytes=shard_bytes, most_passes=most).select("doc_id", "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect())) for most in (100, 0))
+        assert plain == asked and len(plain) == odd.count()
+
+
 def test_lm_of_nothing(spark, empty, odd):
     assert ngram_lm.lm_scores(empty).count() == 0
     nothing = ngram_lm.score_texts(odd, F.lit(False)).collect()
