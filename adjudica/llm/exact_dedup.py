@@ -8,7 +8,8 @@ the shared folder; *owner tasks* each read a range of buckets, number the entrie
 the texts of every entry with more than one row are compared byte by byte (the text itself is a grouping key).  Texts
 that differ under one entry, which takes a collision of the digest, become chain links of their own.
 
-Everything is DataFrame expressions.  Texts are shuffled only for entries with more than one row, and folded first.
+Everything is DataFrame expressions.  Texts are shuffled only for entries with more than one row, and folded first; rows
+get their entry back without moving if it is one of the few with many rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adjudica.llm.shared import keep_rows, materialise, small
+from adjudica.llm.shared import join_folded, keep_rows, materialise, small
 
 #: One or more of these code points count as one space.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -80,14 +81,15 @@ def exact_groups(
     leaf_of, bits = directory(folded.select("hash"), capacity)
     placed = folded.withColumn("leaf", F.shiftrightunsigned("hash", 64 - bits)).join(small(leaf_of), "leaf")
     index = materialise(placed.select("bucket", "hash", "digest", "first", "n").repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash", "digest"), "dedup-index")
-    chained = index.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("digest")) - 1)
+    chained = materialise(index.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("digest")) - 1), "dedup-chains")
 
     shared = small(index.where("n > 1").select("hash").distinct())
     texts = read.select("doc_id", "raw_hash", "norm", hash_of(F.col("norm")).alias("hash"))
     compared = texts.join(shared, "hash", "left_semi").select("doc_id", "norm", "hash", digest_of(F.col("norm")).alias("digest")).groupBy("hash", "digest", "norm").agg(F.count("*").alias("n"))
     differ = materialise(compared.groupBy("hash", "digest").agg(F.count("*").alias("links")).where("links > 1").select("hash", "digest"), "dedup-differ")
     columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "raw_hash", "bucket", "chain"]
-    answer = rows.join(chained, ["hash", "digest"]).withColumns({"keep_id": F.col("first.doc_id"), "group_size": F.col("n"), "kept": F.col("row_no") == F.col("first.row_no")})
+    n_rows = chained.agg(F.sum("n")).first()[0] or 0
+    answer = join_folded(rows, chained, ["hash", "digest"], n_rows).withColumns({"keep_id": F.col("first.doc_id"), "group_size": F.col("n"), "kept": F.col("row_no") == F.col("first.row_no")})
     if not differ.limit(1).count():
         return answer.select(*columns)
     # Texts that differ under one hash and digest: group those few entries by the text itself.

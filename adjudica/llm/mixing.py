@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.llm.shared import materialise, small
+from adjudica.llm.shared import join_folded, materialise
 
+#: Sources whose rates are broadcast; beyond that only the hot ones are.
+BROADCAST_SOURCES = 100_000
 #: A mean above this is drawn as the sum of several equal parts, so that exp(-mean) stays far from underflow.
 PART = 16.0
 
@@ -47,7 +49,7 @@ def poisson(mean: Column, parts: Column, seed: int, key: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, source_col: str, size: float) -> DataFrame:
-    """(source, rate): target share over present share, times ``size``.
+    """(source, n, rate): the source's rows, and its target share over its present share, times ``size``.
 
     Without ``weights`` the target is the present share to the power ``alpha``, normalised.  With ``weights``, sources
     that are not named have the target 0 and leave the mix; the weights of sources that are present are normalised.
@@ -60,8 +62,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
         counts = counts.withColumn("w", F.coalesce(given[F.col("source")], F.lit(0.0)))
     all_n, all_w = counts.agg(F.sum("n"), F.sum("w")).first()
     if not all_w:  # no rows, or no weight for any source that is there
-        return counts.select("source", F.lit(0.0).alias("rate"))
-    return counts.select("source", (F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") * F.lit(float(size))).alias("rate"))
+        return counts.select("source", "n", F.lit(0.0).alias("rate"))
+    return counts.select("source", "n", (F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") * F.lit(float(size))).alias("rate"))
 
 
 def mix_sources(
@@ -73,17 +75,25 @@ def mix_sources(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
+    broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """``docs`` replicated to the target mix: all columns as they came in struct ``row``, plus ``rate``, ``copies``,
     ``copy_no`` (from 0) and ``mix_key``, the copy's place in the shuffled order.
 
     A null source is a source like any other.  A null id draws as an empty one; rows that repeat an id draw alike.  An
-    empty table gives none.  The rates join through a broadcast behind a count of sources; a hot source needs no salt, as
-    its rows never move for the join, and are dealt out by the hash of each copy.
+    empty table gives none.  The rates join through a broadcast behind a count of sources, and beyond
+    ``broadcast_sources`` by a shuffle of all but the hot sources.  A hot source needs no salt: its rows never move for
+    the join, and are dealt out by the hash of each copy.
     """
     rates = source_rates(docs, weights, alpha, source_col, size)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("of"))
-    rated = rows.join(small(rates, limit=100_000), F.col("of").eqNullSafe(F.col("source"))).select("row", "key", "rate")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"))
+    sources, n_rows = rates.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if sources <= broadcast_sources:
+        known = F.broadcast(rates.withColumnRenamed("source", "of"))
+        rated = rows.join(known, F.col("of").eqNullSafe(F.col("source")))
+    else:
+        rated = join_folded(rows, rates, ["source"], n_rows)
+    rated = rated.select("row", "key", "rate")
     parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / PART))
     drawn = rated.withColumn("copies", poisson(F.col("rate"), parts, seed, F.col("key"))).where("copies > 0")
     copies = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy_no"))

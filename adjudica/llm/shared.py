@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys that may be broadcast: at about 40 bytes each this bounds a broadcast at some tens of MB.
 BROADCAST_ROWS = 1_000_000
+#: A key with more than one in so many rows is hot; fewer keys than this can be.
+HOT_KEYS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +52,22 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_folded(rows: DataFrame, folded: DataFrame, key: Sequence[str], n_rows: int) -> DataFrame:
+    """``rows`` with the columns of ``folded``, which has one row for each ``key`` and the key's number of rows as ``n``;
+    ``n_rows`` is the sum of ``n``.  Keys compare null-safe.
+
+    Rows of a hot key stay where they are: fewer than ``HOT_KEYS`` keys can be hot, so those are broadcast whatever the
+    input.  The others are shuffled, and none of them can fill a task.  ``rows`` is read twice: pass a written table.
+    """
+    folded = folded.withColumnsRenamed({k: f"f_{k}" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in key]
+    is_hot = F.col("n") * HOT_KEYS > n_rows
+    hot, cold = folded.where(is_hot), folded.where(~is_hot)
+    rest = rows.join(F.broadcast(hot.select(*[f"f_{k}" for k in key])), same, "left_anti")
+    joined = rows.join(F.broadcast(hot), same).unionByName(rest.join(cold, same))
+    return joined.drop(*[f"f_{k}" for k in key])
+
+
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     """True where crc32 of the id's decimal text leaves ``remainder``: rows that no model may learn from.  A null id
     counts as the empty text."""

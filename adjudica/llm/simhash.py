@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adjudica.llm.components import component_roots
-from adjudica.llm.shared import keep_rows, materialise
+from adjudica.llm.shared import join_folded, keep_rows, materialise
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
 SEGMENTS, WIDTH = 4, 16
@@ -111,13 +111,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw_hash"), _fingerprints(F.col(text_col)).alias("fingerprint"))
     rows = materialise(rows, "simhash-rows")
-    classes = materialise(rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_hash")).alias("first")), "simhash-classes")
+    classes = materialise(rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_hash")).alias("first"), F.count("*").alias("n")), "simhash-classes")
     roots = component_roots(fingerprint_links(classes.select("fingerprint"), crowd))
     rooted = classes.join(roots.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of_class = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "least")
+    of_class = materialise(rooted.select("fingerprint", "root", "n").join(least, "root").select("fingerprint", "least", "n"), "simhash-roots")
+    n_rows = of_class.agg(F.sum("n")).first()[0] or 0
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("raw_hash") == F.col("least.raw_hash"))
-    return rows.join(of_class, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "raw_hash", kept.alias("row_kept"))
+    return join_folded(rows, of_class, ["fingerprint"], n_rows).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "raw_hash", kept.alias("row_kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

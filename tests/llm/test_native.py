@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, mixing, sharding
+from adjudica.llm import exact_dedup, mixing, sharding, shared
 
 
 def norm(text):
@@ -121,6 +121,20 @@ def test_mixing(odd, odd_rows, empty, weights):
     assert Counter((r["doc_id"], r["text"], r["copies"], r["copy_no"]) for r in rows) == wanted
     assert found.select("row.*").columns == odd.columns
     assert mixing.mix_sources(empty, weights).count() == 0
+    shuffled = mixing.mix_sources(odd, weights, broadcast_sources=0).select("row.*", "copies", "copy_no").collect()
+    assert Counter((r["doc_id"], r["text"], r["copies"], r["copy_no"]) for r in shuffled) == wanted
+
+
+@pytest.mark.parametrize("hot_keys", [1, 4, 1000])
+def test_join_folded(spark, monkeypatch, hot_keys):
+    """Hot, cold and null keys each find their row, whichever way they go."""
+    monkeypatch.setattr(shared, "HOT_KEYS", hot_keys)
+    values = ["a"] * 40 + ["b"] * 20 + ["c", "d", None, None, "e"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, k string").repartition(3)
+    folded = spark.createDataFrame([(k, n, f"of {k}") for k, n in Counter(values).items()], "k string, n long, said string")
+    found = shared.join_folded(rows, folded, ["k"], len(values))
+    assert found.columns == ["i", "k", "n", "said"]
+    assert sorted((r["i"], r["k"], r["said"]) for r in found.collect()) == [(i, k, f"of {k}") for i, k in enumerate(values)]
 
 
 def test_mixing_reaches_large_and_small_rates(spark):
