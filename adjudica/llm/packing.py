@@ -27,7 +27,7 @@ CAPACITY, END_ID = 1024, 2
 #: Open bins of one packing task, and the pieces dealt to it; memory of a task is bounded by both.
 OPEN_BINS, TASK_PIECES = 65_536, 100_000
 #: Words whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 def plain(text: str) -> bool:
