@@ -81,17 +81,18 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def grow(rows: np.ndarray, labels: np.ndarray) -> BoostedTrees:
-    """Boosting on the logistic loss with second-order leaves."""
+def grow(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+    """Boosting on the logistic loss with second-order leaves; a row counts as ``weights`` rows (one, unless given)."""
     n, width = rows.shape
+    weights = np.ones(n) if weights is None else weights
     edges = [np.unique(np.quantile(rows[:, f], np.arange(1, BINS) / BINS)) for f in range(width)]
     binned = np.stack([np.searchsorted(edges[f], rows[:, f], side="left") for f in range(width)])  # bin b: x <= edges[b]
-    prior = (labels.sum() + 0.5) / (n + 1)
+    prior = ((weights * labels).sum() + 0.5) / (weights.sum() + 1)
     odds = np.full(n, base := math.log(prior / (1 - prior)))
     feature, threshold, leaf = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-odds))
-        gradient, hessian = labels - p, p * (1 - p)
+        gradient, hessian = weights * (labels - p), weights * p * (1 - p)
         node, f_of, t_of = np.zeros(n, np.int64), np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, np.inf)
         for level in range(DEPTH):
             first, many = 2**level - 1, 2**level
@@ -121,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str
     """Trees learned from the labelled rows where ``learn_from`` (over ``id_col`` of the labels) holds; None without any.
 
     A bounded sample of labels picks the rows (``rows_a_class`` a label, about, and four times that at most with ids that
-    repeat); only their statistics reach the driver.
+    repeat); only their statistics reach the driver.  Rows of a label weigh as many as it has in the whole table, so the
+    share of the labels, and with it the score, does not depend on the table's size.
     Null labels and labels other than 0 and 1 are passed over; a label row that repeats counts again; a null text is empty.
     """
     known = labels.where(learn_from & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
@@ -137,7 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str
     found = texts.join(small(sample, limit=4 * rows_a_class), "id").select("label", measured("text").alias("x"), "id").orderBy("id", "label").limit(8 * rows_a_class).toPandas()
     if found.empty:
         return None
-    return grow(np.stack(found["x"]), found["label"].to_numpy(np.float64))
+    of_label = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    in_sample = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = found["label"].map({label: of_label[label] / n for label, n in in_sample.items()})
+    return grow(np.stack(found["x"]), found["label"].to_numpy(np.float64), weights.to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, trees: BoostedTrees | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

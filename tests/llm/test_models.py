@@ -81,6 +81,18 @@ def test_quality_odd_rows(spark, odd, odd_rows, empty):
     assert quality.score_quality(empty, trees).count() == 0 and quality.score_quality(odd, None).count() == len(odd_rows)
 
 
+def test_quality_prior_does_not_depend_on_the_sample(spark, monkeypatch):
+    """A small bound of rows a label leaves the base score of the full fit, and the mean score near it."""
+    monkeypatch.setattr(quality, "TREES", 10)
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(5, 40)))) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(1200)], "doc_id long, quality int")
+    full, part = (quality.train(docs, labels, F.lit(True), rows_a_class=n) for n in (8000, 60))
+    assert part.base == pytest.approx(full.base, abs=0.01)
+    means = [quality.score_quality(docs, trees).agg(F.avg("score")).first()[0] for trees in (full, part)]
+    assert means[1] == pytest.approx(means[0], abs=0.1)
+
+
 def test_trees_walk_as_nested_rules():
     rng = np.random.default_rng(3)
     rows = rng.normal(size=(400, 5))
