@@ -4,13 +4,17 @@ A text is lower-cased and cut into windows of fixed length.  Bytes are embedded;
 window, each filter keeps its largest response (max pooling), and a softmax layer turns the responses into language
 probabilities.  A text's language is that of the mean log-probability over all its windows.
 
+One class more than the labels is learned, from windows that no language has: characters of training windows in random
+order, random letters, random code points of scripts that no label uses.  It takes no part in the choice of a language;
+its probability tells how little a text reads like any of them, and :func:`keep_known_languages` rejects by it.
+
 Training takes a bounded sample of labelled rows to the driver; the network (some kB) goes to the workers, which apply it
 to batches of windows.  Scoring is one scan without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +30,13 @@ from adjudica.llm.shared import letters
 ROWS_A_CLASS, WINDOWS_A_ROW = 1000, 3
 WINDOW, EMBED, FILTERS, WIDTHS = 192, 6, 12, (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 64, 0.01
-#: Windows scored at a time: bounds a worker's memory.
-BLOCK = 256
+#: Windows scored at a time, of however many texts: bounds a worker's memory.
+BLOCK = 512
 UNDETERMINED = "und"
+#: Windows of no language for each training window, and the least probability of that class that rejects a text.
+NOISE_SHARE, REJECT = 0.3, 0.9
+#: First and last code points of the ranges that noise is drawn from: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x30F6), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 def text_windows(text: str, window: int = WINDOW) -> np.ndarray:
@@ -41,9 +49,33 @@ def text_windows(text: str, window: int = WINDOW) -> np.ndarray:
     return whole if len(data) % window == 0 else np.concatenate([whole, data[None, -window:]])
 
 
+def noise_windows(windows: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` windows of no language.  Scripts that a tenth of the training windows use are no noise."""
+    rng = np.random.default_rng(seed)
+    texts = [bytes(w[w > 0]).decode("utf-8", "ignore") for w in windows[rng.permutation(len(windows))[:2000]]]
+    used = lambda a, b: sum(any(a <= ord(c) <= b for c in t) for t in texts) * 10 > len(texts)
+    foreign = [(a, b) for a, b in SCRIPTS if not used(a, b)]
+    made = np.zeros((n, WINDOW), np.uint8)
+    for k in range(n):
+        kind = rng.integers(4 if foreign else 3)
+        if kind <= 1:  # the characters of a window in random order
+            chars = list(texts[rng.integers(len(texts))])
+            rng.shuffle(chars)
+            text = "".join(chars)
+        else:
+            a, b = (0x61, 0x7A) if kind == 2 else foreign[rng.integers(len(foreign))]
+            codes = rng.integers(a, b + 1, WINDOW)
+            gap = rng.random(WINDOW) < rng.uniform(0.02, 0.25)
+            text = "".join(" " if g else chr(c) for g, c in zip(gap, codes, strict=True))
+        data = np.frombuffer(text.lower().encode("utf-8", "replace")[:WINDOW], np.uint8)
+        made[k, : len(data)] = data
+    return made
+
+
 @dataclass
 class ByteNetwork:
-    """``embed`` (256, EMBED), ``filters`` {width: (width * EMBED, FILTERS)}, ``out`` (all filters + 1, classes)."""
+    """``embed`` (256, EMBED), ``filters`` {width: (width * EMBED, FILTERS)}, ``out`` (all filters + 1, classes); the
+    classes are those of ``labels`` and a last one for text of no language."""
 
     labels: list[str]
     embed: np.ndarray
@@ -58,7 +90,7 @@ class ByteNetwork:
         embed = rng.normal(0, 1, (256, EMBED)).astype(np.float32)
         embed[0] = 0
         filters = {w: normal(w * EMBED, FILTERS) for w in WIDTHS}
-        return cls(labels, embed, filters, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, normal(len(WIDTHS) * FILTERS + 1, len(labels)))
+        return cls(labels, embed, filters, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, normal(len(WIDTHS) * FILTERS + 1, len(labels) + 1))
 
     def pooled(self, windows: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest responses (n, filters), and the positions where they were found."""
@@ -108,14 +140,41 @@ class ByteNetwork:
     def weights(self) -> list[np.ndarray]:
         return [self.embed, *(self.filters[w] for w in WIDTHS), *(self.bias[w] for w in WIDTHS), self.out]
 
-    def predict(self, texts: Iterator[str]) -> Iterator[tuple[str, float]]:
-        """(label, probability) of each text, from all its windows, ``BLOCK`` at a time."""
-        for text in texts:
+    def predict(self, texts: Iterable[str]) -> list[tuple[str, float, float]]:
+        """(label, its probability among the labels, probability of no language) of each text, from all its windows.
+        Windows of successive texts are scored together, ``BLOCK`` at a time, and summed by text."""
+        totals: list[np.ndarray] = []
+        block, of, size = [], [], 0
+
+        def score() -> None:
+            nonlocal size
+            if size:
+                found = self.log_probabilities(self.pooled(np.concatenate(block))[0])
+                np.add.at(sums, np.repeat(of, [len(w) for w in block]), found)
+                block.clear()
+                of.clear()
+                size = 0
+
+        texts = list(texts)
+        sums, counts = np.zeros((len(texts), self.out.shape[1])), np.ones(len(texts))
+        for k, text in enumerate(texts):
             windows = text_windows(text)
-            total = sum(self.log_probabilities(self.pooled(windows[at : at + BLOCK])[0]).sum(0) for at in range(0, len(windows), BLOCK)) / len(windows)
+            counts[k] = len(windows)
+            at = 0
+            while at < len(windows):
+                part = windows[at : at + BLOCK - size]
+                block.append(part)
+                of.append(k)
+                at, size = at + len(part), size + len(part)
+                if size == BLOCK:
+                    score()
+        score()
+        for total in sums / counts[:, None]:
             share = np.exp(total - total.max())
-            best = int(total.argmax())
-            yield self.labels[best], float(share[best] / share.sum())
+            own = share[:-1]
+            best = int(own.argmax())
+            totals.append((self.labels[best], float(own[best] / max(own.sum(), 1e-300)), float(share[-1] / share.sum())))
+        return totals
 
 
 def fit(windows: np.ndarray, classes: np.ndarray, labels: list[str], seed: int = 5) -> ByteNetwork:
@@ -157,33 +216,38 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col:
     found = sample.toPandas()
     windows = np.frombuffer(b"".join(w for ws in found["windows"] for w in ws), np.uint8).reshape(-1, WINDOW)
     classes = np.repeat([labels.index(x) for x in found["lang"]], [len(w) for w in found["windows"]])
-    return fit(windows, classes, labels, seed)
+    noise = noise_windows(windows, max(1, int(NOISE_SHARE * len(windows))), seed)
+    return fit(np.concatenate([windows, noise]), np.concatenate([classes, np.full(len(noise), len(labels))]), labels, seed)
 
 
 def identify(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text") -> DataFrame:
-    """``docs`` as struct ``row`` with ``lang_pred`` and ``score``: the most likely learned label and its probability.
+    """``docs`` as struct ``row`` with ``lang_pred``, ``score`` and ``noise``: the most likely learned label, its
+    probability among the labels, and the probability that the text is of no language.
 
-    A text that is null or has no letter gets ``und`` and 0.0, as does every text if nothing was learned.  Whole texts are
-    read; other columns are carried, not looked at.
+    A text that is null or has no letter gets ``und``, 0.0 and 1.0, as does every text if nothing was learned.  Whole texts
+    are read; other columns are carried, not looked at.
     """
-    result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("noise", T.DoubleType())])
     carried = docs.select(F.struct("*").alias("row"), F.when(letters(F.col(text_col)), F.col(text_col)).alias("text"))
     if network is None:
-        return carried.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return carried.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(1.0).alias("noise"))
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf(result)
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        found = [(UNDETERMINED, 0.0)] * len(texts)
+        found = [(UNDETERMINED, 0.0, 1.0)] * len(texts)
         with_text = [k for k, t in enumerate(texts) if t]
-        for k, said in zip(with_text, shared.value.predict(texts[k] for k in with_text), strict=True):
+        for k, said in zip(with_text, shared.value.predict(texts.iloc[k] for k in with_text), strict=True):
             found[k] = said
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+        return pd.DataFrame(found, columns=["lang_pred", "score", "noise"])
 
-    return carried.withColumn("said", predicted("text")).select("row", "said.lang_pred", "said.score")
+    return carried.withColumn("said", predicted("text")).select("row", "said.lang_pred", "said.score", "said.noise")
 
 
-def keep_known_languages(docs: DataFrame, network: ByteNetwork | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts whose language is undetermined or scores below ``min_score``."""
-    known = identify(docs, network, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return known.select("row.*")
+def keep_known_languages(docs: DataFrame, network: ByteNetwork | None, reject: float = REJECT, languages: Sequence[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that have no letter, that the network says are of no language with a probability of
+    ``reject`` or more, or, where ``languages`` names the wanted ones, whose predicted language isn't one of them."""
+    said = identify(docs, network, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("noise") < reject))
+    if languages is not None:
+        said = said.where(F.col("lang_pred").isin(list(languages)))
+    return said.select("row.*")
