@@ -27,10 +27,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 OP3 = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, pow(CAST(n AS DOUBLE), 0.5) / sum(pow(CAST(n AS DOUBLE), 0.5)) OVER () * sum(n) OVER () / n AS rate FROM n),
+keyed AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND count(*) OVER (PARTITION BY doc_id) = 1 THEN CAST(doc_id AS VARCHAR)
+    ELSE coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || CAST(row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS VARCHAR) END AS key
+  FROM documents
+),
 draws AS (
-  SELECT d.*, r.rate, CAST(('0x' || substr(md5('17:' || CAST(d.doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u,
+  SELECT d.*, r.rate, CAST(('0x' || substr(md5('17:' || key || ':' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u,
          r.rate / greatest(1, ceil(r.rate / 16)) AS lam, i
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source,
+  FROM keyed d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source,
   LATERAL (SELECT unnest(range(1, CAST(greatest(1, ceil(r.rate / 16)) AS BIGINT) + 1)) AS i)
 ),
 lams AS (SELECT DISTINCT lam FROM draws),
@@ -40,11 +45,11 @@ terms(lam, k, p, cdf) AS (
   SELECT lam, k + 1, p * lam / (k + 1), cdf + p * lam / (k + 1) FROM terms WHERE k < 96
 ),
 counts AS (
-  SELECT doc_id, text, lang, source, n_chars, rate, CAST(sum((SELECT count(*) FROM terms t WHERE t.lam = w.lam AND t.k < 96 AND t.cdf <= w.u)) AS BIGINT) AS copies
+  SELECT doc_id, text, lang, source, n_chars, rate, key, CAST(sum((SELECT count(*) FROM terms t WHERE t.lam = w.lam AND t.k < 96 AND t.cdf <= w.u)) AS BIGINT) AS copies
   FROM draws w GROUP BY ALL
 )
 SELECT doc_id, text, lang, source, n_chars, rate, copies, copy_no,
-       CAST(('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy_no AS VARCHAR)), 14, 13)) AS BIGINT) AS mix_key
+       CAST(('0x' || substr(md5('17:' || key || ':' || CAST(copy_no AS VARCHAR)), 14, 13)) AS BIGINT) AS mix_key
 FROM counts, LATERAL (SELECT unnest(range(0, copies)) AS copy_no)
 """
 
