@@ -15,9 +15,12 @@ HOT_KEYS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a folder in the
+    warehouse serves a local session; on a cluster that is an error, as the warehouse may be the driver's own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/adjudica-checkpoints"
     return folder.rstrip("/")
 
@@ -68,6 +71,15 @@ def join_folded(rows: DataFrame, folded: DataFrame, key: Sequence[str], n_rows:
     return joined.drop(*[f"f_{k}" for k in key])
 
 
+def without_folded(rows: DataFrame, folded: DataFrame, key: Sequence[str], n_rows: int) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``folded``, which is as in :func:`join_folded`; rows of hot keys stay in place too."""
+    folded = folded.select(*[F.col(k).alias(f"f_{k}") for k in key], "n")
+    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in key]
+    is_hot = F.col("n") * HOT_KEYS > n_rows
+    rest = rows.join(F.broadcast(folded.where(is_hot)), same, "left_anti")
+    return rest.join(small(folded.where(~is_hot)), same, "left_anti")
+
+
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     """True where crc32 of the id's decimal text leaves ``remainder``: rows that no model may learn from.  A null id
     counts as the empty text."""
@@ -82,24 +94,18 @@ def letters(text: Column) -> Column:
 def keep_rows(docs: DataFrame, decisions: DataFrame, key: Sequence[str], made: Sequence[Column]) -> DataFrame:
     """``docs`` without the rows that ``decisions`` drops, and with repeated rows of one key kept once.
 
-    ``decisions`` has the columns ``key``, ``kept`` (boolean) and ``n_rows`` (rows that share the key); ``made`` are the
-    expressions over ``docs`` that give the key.  Columns of ``docs`` stay as they are, whatever their names: they travel
-    inside one struct.  Keys compare null-safe.  Only the dropped and the repeated keys are joined, which are few; each
-    side is broadcast behind a count and joined by a shuffle beyond it.  Repeats fold in a grouped aggregate, which
-    combines before it shuffles, so a row repeated a billion times does not meet in one task.
+    ``decisions`` has a row for each ``key``, with ``kept`` (boolean) and ``n_rows`` (rows that share the key); ``made`` are
+    the expressions over ``docs`` that give the key.  Columns of ``docs`` stay as they are, whatever their names: they
+    travel inside one struct.  Keys compare null-safe.  Only the dropped and the repeated keys are joined, which are few;
+    beyond a counted bound they are joined by a shuffle that hot keys take no part in.  Repeats fold in a grouped
+    aggregate, which combines before it shuffles, so a row repeated a billion times does not meet in one task.
     """
     rows = docs.select(F.struct("*").alias("row"), *[c.alias(k) for c, k in zip(made, key, strict=True)])
-
-    def only(kind: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        right = kind.select(*[F.col(k).alias(f"r_{k}") for k in key])
-        return left.join(right, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in key], how)
-
-    dropped = small(decisions.where(~F.col("kept")).select(*key).distinct())
-    repeated = decisions.where(F.col("kept") & (F.col("n_rows") > 1)).select(*key).distinct()
-    n_repeated = repeated.limit(BROADCAST_ROWS + 1).count()
-    rows = only(dropped, "left_anti", rows)
-    if n_repeated:
-        repeated = small(repeated, n_repeated)
-        folded = only(repeated, "left_semi", rows).groupBy(*key).agg(F.min("row").alias("row"))
-        rows = only(repeated, "left_anti", rows).select("row").unionByName(folded.select("row"))
-    return rows.select("row.*")
+    decisions = decisions.withColumnRenamed("n_rows", "n")
+    n_rows = decisions.agg(F.sum("n")).first()[0] or 0
+    rows = without_folded(rows, decisions.where(~F.col("kept")), key, n_rows)
+    repeated = decisions.where(F.col("kept") & (F.col("n") > 1)).select(*key, "n")
+    if not repeated.limit(1).count():
+        return rows.select("row.*")
+    folded = join_folded(rows, repeated, key, n_rows).groupBy(*key).agg(F.min("row").alias("row"))
+    return without_folded(rows, repeated, key, n_rows).select("row").unionByName(folded.select("row")).select("row.*")

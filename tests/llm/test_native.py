@@ -48,13 +48,30 @@ def test_drop_copies(odd, odd_rows, empty):
 
 
 def test_directory_doubles_where_it_must(spark):
-    entries = spark.range(4000).select(F.when(F.col("id") < 3000, F.shiftrightunsigned(F.xxhash64("id"), 4)).otherwise(F.xxhash64("id")).alias("hash"))
-    leaves, bits = exact_dedup.directory(entries, 200)
-    placed = entries.withColumn("leaf", F.shiftrightunsigned("hash", 64 - bits)).join(leaves, "leaf")
-    sizes = {r[0]: (r[1], r[2]) for r in placed.groupBy("bucket").agg(F.count("*"), F.first("depth")).collect()}
-    assert placed.count() == 4000 and len(sizes) > 8
-    assert all(n <= 200 or depth == bits for n, depth in sizes.values())
-    assert len({depth for _, depth in sizes.values()}) > 1
+    """Buckets split until none is overfull, also where most hashes share 40 bits, and every hash has one bucket."""
+    crowded = F.shiftrightunsigned(F.xxhash64("id"), 40)
+    hashes = spark.range(4000).select(F.when(F.col("id") < 3000, crowded).otherwise(F.xxhash64("id")).alias("hash")).distinct()
+    buckets = exact_dedup.directory(hashes, 200)
+    placed = exact_dedup.in_buckets(hashes, buckets)
+    sizes = {r[0]: r[1] for r in placed.groupBy("bucket").count().collect()}
+    assert placed.count() == hashes.count() and max(sizes.values()) <= 200
+    depths = {r["bucket"]: r["depth"] for r in buckets.collect()}
+    assert len(depths) == buckets.count() and set(sizes) <= set(depths) and max(depths.values()) > 40 > 4 >= min(depths.values())
+    one = exact_dedup.directory(hashes, 10_000).collect()
+    assert [(r["depth"], r["prefix"], r["bucket"]) for r in one] == [(0, 0, 0)]
+
+
+def test_a_hot_text_among_many_shared_hashes(spark, monkeypatch):
+    """Beyond the bound of a broadcast: the same groups, and no row of the hot text moves before it is folded."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    texts = ["hot  text"] * 300 + [f"text {k // 2}" for k in range(600)]
+    docs = spark.createDataFrame([(None if k == 5 else k % 700, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = exact_dedup.exact_groups(docs, capacity=50).collect()
+    assert Counter(r["group_size"] for r in found) == Counter({300: 300, 2: 600})
+    assert len({r["bucket"] for r in found}) > 4 and sum(r["kept"] for r in found) == 301
+    kept = exact_dedup.drop_copies(docs, capacity=50).collect()
+    assert Counter(norm(r["text"]) for r in kept) == Counter(set(map(norm, texts)))
 
 
 def jump(key, n):
@@ -106,6 +123,19 @@ def draw(mean, key):
     return total
 
 
+def mix_keys(rows):
+    """A row's key: its id, or for null and repeated ids also the text's md5 and the number among rows alike in both."""
+    ids, alike, keys = Counter(r[0] for r in rows), Counter(), []
+    for r in rows:
+        text = r[1] or ""
+        if r[0] is not None and ids[r[0]] == 1:
+            keys.append(str(r[0]))
+        else:
+            keys.append(f"{'' if r[0] is None else r[0]}:{hashlib.md5(text.encode()).hexdigest()}:{alike[r[0], text]}")
+            alike[r[0], text] += 1
+    return keys
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 9.0, "b": 1.0}])
 def test_mixing(odd, odd_rows, empty, weights):
     found = mixing.mix_sources(odd, weights)
@@ -113,9 +143,9 @@ def test_mixing(odd, odd_rows, empty, weights):
     n = Counter(r[3] for r in odd_rows)
     weight = {s: (math.sqrt(c) if weights is None else weights.get(s, 0.0)) for s, c in n.items()}
     rate = {s: weight[s] / sum(weight.values()) * len(odd_rows) / n[s] for s in n}
-    wanted = Counter()
+    wanted, keys = Counter(), mix_keys(odd_rows)[::-1]
     for r in odd_rows:
-        copies = draw(rate[r[3]], "" if r[0] is None else r[0])
+        copies = draw(rate[r[3]], keys.pop())
         for k in range(copies):
             wanted[r[0], r[1], copies, k] += 1
     assert Counter((r["doc_id"], r["text"], r["copies"], r["copy_no"]) for r in rows) == wanted
@@ -137,6 +167,16 @@ def test_join_folded(spark, monkeypatch, hot_keys):
     assert sorted((r["i"], r["k"], r["said"]) for r in found.collect()) == [(i, k, f"of {k}") for i, k in enumerate(values)]
 
 
+def test_mixing_draws_null_and_repeated_ids_apart(spark):
+    """Rows of null ids, of one id with many texts, and of one whole row repeated each draw for themselves and spread."""
+    kind = F.col("id") % 4
+    docs = spark.range(8000).select(F.when(kind == 0, F.lit(None)).when(kind == 1, -1).when(kind == 2, -2).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(kind == 2, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("s").alias("source"))
+    found = mixing.mix_sources(docs, size=1.0)
+    counts = Counter(-9 if r[0] is None else r[0] if r[0] < 0 else 0 for r in found.select("row.doc_id").collect())
+    assert all(abs(counts[k] - 2000) < 5 * math.sqrt(2000) for k in (-9, -1, -2, 0))
+    assert len({r["mix_key"] for r in found.collect()}) == found.count()
+
+
 def test_mixing_reaches_large_and_small_rates(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "rare").otherwise("common").alias("source"))
     shares = {r[0]: r[1] for r in mixing.mix_sources(docs, {"rare": 3.0, "common": 1.0}, size=2.0).groupBy("row.source").count().collect()}
