@@ -1,14 +1,14 @@
 """Best-fit packing of token pieces into sequences.
 
 Documents are tokenised once, on the executors, into narrow piece rows kept in the shared folder.  Pieces are dealt over
-packing tasks by row number, longest first in each task, and every task packs its stream online: a piece goes into the
-open bin with the least free space that holds it, found by one bit scan over a bitset keyed by free space.  The number of
-open bins is fixed; when one more is needed, the fullest closes.  Pieces of a whole sequence need no bin.
+packing tasks by a hash of their row number, and every task packs its stream online, in the order of those numbers: a piece
+goes into the open bin with the least free space that holds it, found by one bit scan over a bitset keyed by free space.
+The number of open bins is fixed; when one more is needed, the fullest closes.  Pieces of a whole sequence need no bin.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import sys
 import zlib
 from array import array
@@ -25,9 +25,11 @@ from adjudica.llm.shared import materialise
 
 CAPACITY, END_ID = 1024, 2
 #: Open bins of one packing task, and the pieces dealt to it; memory of a task is bounded by both.
-OPEN_BINS, TASK_PIECES = 65_536, 100_000
-#: Words whose ids a worker keeps.
-CACHE = 250_000
+OPEN_BINS, TASK_PIECES = 256, 100_000
+#: Words whose ids a worker keeps, and the characters that a word may have to be kept: together they bound the cache.
+CACHE, CACHED_WORD = 250_000, 64
+#: How the vocabulary's words are told apart: contractions, letters, digits, others, white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def plain(text: str) -> bool:
@@ -53,27 +55,37 @@ def ids_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The byte-level vocabulary of the tokenizer file as ranks of byte strings, or None where ids don't ascend in the order
+    of the merges: only where they do is merging by rank the same as merging by rule."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip([255, *merged], merged, strict=False)):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+    of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {bytes(of[c] for c in token): number for token, number in model["vocab"].items() if all(c in of for c in token)}
+
+
 class _WordIds(dict):
     """Word -> ids as little-endian uint32 bytes.  Byte-level BPE never merges over the boundary before a single space or
     line feed that stands between other characters, so a text's ids are those of its words, joined.
 
     A word's key has its leading line feed, a leading tab if it begins its text, or else nothing for its leading space.
-    Words of plain Latin letters go through tiktoken with the same ranks; others through the tokenizer itself.
+    Words of plain Latin letters are merged by rank, others by the tokenizer itself; both read the one file.
     """
 
-    def __init__(self, path: str, ranks_path: str | None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks_path:
-            import public_tokenizers
+        ranks, self.fast = byte_ranks(path), None
+        if ranks:
             import tiktoken
 
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         return ids_bytes(self.whole.encode(text, add_special_tokens=False).ids)
@@ -81,9 +93,10 @@ class _WordIds(dict):
     def __missing__(self, key: str) -> bytes:
         word = key if key[:1] == "\n" else key[1:] if key[:1] == "\t" else " " + key
         ids = ids_bytes(self.fast(word)) if self.fast and (word.isascii() or max(word) < "ɐ") else self.encode(word)
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = ids
+        if len(key) <= CACHED_WORD:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -93,8 +106,8 @@ class _WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str, ranks_path: str | None) -> _WordIds:
-    return _WordIds(path, ranks_path)
+def _word_ids(path: str) -> _WordIds:
+    return _WordIds(path)
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -109,7 +122,6 @@ def token_pieces(
     text_col: str = "text",
     *,
     path: str | None = None,
-    ranks_path: str | None = None,
     capacity: int = CAPACITY,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -118,9 +130,7 @@ def token_pieces(
     A null text is empty and has one piece of length 1.  Only documents of more than ``capacity`` ids are cut.  ``ids``
     are little-endian uint32 bytes.  An empty table has no pieces; other columns are not read.
     """
-    own = path is None
     path = path or vocabulary()
-    ranks_path = ranks_path or (vocabulary("byte_bpe_50k.tiktoken") if own else None)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([read.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
     if with_ids:
@@ -128,7 +138,7 @@ def token_pieces(
     end = ids_bytes([END_ID])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(path, ranks_path)
+        words = _word_ids(path)
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(1)):
@@ -177,7 +187,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_B
     full = numbered.where(F.col("length") >= capacity).select(*pieces.columns, (-1 - F.col("row_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = numbered.where(F.col("length") < capacity)
     tasks = max(1, -(-short.count() // task_pieces))
-    dealt = short.repartition(tasks, F.xxhash64("row_no")).sortWithinPartitions(F.desc("length"), "row_no").drop("row_no")
+    dealt = short.repartition(tasks, F.xxhash64("row_no")).sortWithinPartitions("row_no").drop("row_no")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = pieces.columns.index("length")
 
