@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counting: tasks hash their words, fold equal ones, and send sorted blocks of (hash, count) to shards by hash; a shard sums
-them.  No key is hot, as a task sends one entry for each of its words or word pairs.  A shard then writes its own segment
-of the filter: a count is quantised to a level on a logarithmic scale, and the n-gram is entered once for each level up to
-its own.  The segments together are broadcast, behind a check of their size.
+Counting: tasks hash their words and word pairs, fold equal ones, and send sorted blocks of (hash, count) to shards by hash;
+a shard sums them.  No key is hot, as a task sends one entry for each of its words or pairs.  A block goes to one of at most
+``FANOUT`` groups of shards, which a second step splits if there are more shards, so the blocks grow as the input.  A shard
+then writes its own segment of the filter: a count is quantised to a level on a logarithmic scale, and the n-gram is entered
+once for each level up to its own.  Every word and pair is entered, however rare.  The segments together are broadcast,
+behind a check of their size.
 
 Scoring: probing an n-gram for level 1, 2, ... until a probe fails gives its quantised count.  A word w after h has
 
-    p(w | h) = c(h, w) / (c(h) + M) + (1 - kept(h) / (c(h) + M)) * p(w),   p(w) = (c(w) + D) / (N + D * (V + 1))
+    p(w | h) = (c(h, w) + M * p(w)) / (c(h) + M),   p(w) = (c(w) + D) / (N + D * (V + 1))
 
-where c(h, w) counts pairs seen twice or more, kept(h) is their sum over w, and so what pairs do not hold goes to the
-single words: nothing is counted twice.  The text starts after an end token and ends with one.
+The text starts after an end token and ends with one, so c(h) is also the number of pairs that begin with h.
 
 If the filter is larger than a broadcast may be, pair segments go out in a few passes; a word is scored in the pass that
 holds its pair, and a document's parts are summed.  The exact counts that give the base score are broadcast too.  Where
@@ -26,31 +27,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adjudica.llm.shared import held_out, materialise
 
-#: The model: mass of the single words, their added count, and the least count of a pair that is entered.
-MASS, ADDED, LEAST_PAIR = 10.0, 0.5, 2
-#: The filter: ratio of the levels' counts, bits for each entry, probes for each entry.
-RATIO, ENTRY_BITS, PROBES = 1.5, 10, 6
+#: The model: mass of the single words, and their added count.
+MASS, ADDED = 10.0, 0.5
+#: The filter: ratio of the levels' counts, bits of the filter for each entry, bits that an entry sets in one 64-bit word.
+RATIO, ENTRY_BITS, PROBES = 1.5, 12, 4
 #: Bytes of text for each counting shard; bytes that a filter broadcast and words that an exact broadcast may have.
-SHARD_BYTES, FILTER_BYTES, EXACT_WORDS = 32_000_000, 96_000_000, 4_000_000
+SHARD_BYTES, FILTER_BYTES, EXACT_WORDS = 12_000_000, 160_000_000, 4_000_000
 #: Passes over the texts that a broadcast filter may take; beyond that keys go to the shards.
 MOST_PASSES = 4
+#: Groups of shards that a task deals blocks to at once.
+FANOUT = 1024
 #: Bytes hashed at a time, and hashes folded at a time, in a task.
 SEGMENT, FOLD = 2_000_000, 3_000_000
 
-WORD, HELD, PAIR, KEPT = 0, 1, 2, 3
+WORD, HELD, PAIR = 0, 1, 2
 _U = np.uint64
-_FIRST = _U(0xFFFFFFFF00000000)
 END = _U(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+_END = np.array([END])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,57 +59,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            factors = np.full(n, base, np.uint64)
-            factors[0] = 1
-            made.append(np.multiply.accumulate(factors))
-        _powers[:] = made
-    return _powers[0], _powers[1]
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of lower-cased bytes.  A hash is a polynomial over the word's bytes, so prefix sums give
-    all of them at once."""
-    buffer = np.frombuffer(data, np.uint8)
-    space = _SPACE[buffer]
-    edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power_tables(max(SEGMENT, len(buffer)) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buffer] * up[: len(buffer)])))
-    return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _scaled(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """The upper half of each word, scaled to 0 .. n - 1."""
+    return ((x >> _U(32)) * np.asarray(n, np.uint64)) >> _U(32)
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The token hashes of all texts, each text's words and then END, and the number of tokens of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = b"\n".join(raw) + b"\n"
-    starts, hashes, at = [], [], 0
-    while at < len(data):  # cut before white space, which is never within a word
-        to = len(data) if at + SEGMENT >= len(data) else next((k for k in range(at + SEGMENT, len(data)) if _SPACE[data[k]]), len(data))
-        s, h = _word_hashes(data[at:to])
-        starts.append(s + at)
-        hashes.append(h)
-        at = to
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    upto = np.searchsorted(start, ends)
-    counts = np.diff(np.concatenate(([0], upto))) + 1
-    tokens = np.full(len(start) + len(raw), END)
-    tokens[np.arange(len(start)) + np.searchsorted(upto, np.arange(len(start)), "right")] = np.concatenate(hashes) if hashes else 0
-    return tokens, counts
+    """The token hashes of all texts, each text's words and then END, and the number of tokens of each text.  A word's hash is
+    the XXH64 of its bytes, A-Z lower-cased."""
+    found, counts = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and ASCII white space only
+        counts[k] = len(words) + 1
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        found.append(_END)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
 
 
 def pair_keys(tokens: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it (END before the first): the upper half tells the first word."""
+    """Key of each token with the one before it (END before the first)."""
     before = np.concatenate(([END], tokens[:-1]))
-    return (before & _FIRST) | (_mix(before * _U(3) + tokens) >> _U(32))
+    return _mix(before * _U(3) + _mix(tokens))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((_mix(keys) >> _U(33)) % _U(shards)).astype(np.int64)
+    return _scaled(_mix(keys), shards).astype(np.int64)
 
 
 def _fold(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,101 +97,137 @@ def _fold(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in one byte each where they fit, else in eight."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64).tobytes()
+
+
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8 if len(counts) == n else np.int64).astype(np.int64)
+
+
 BLOCK = "kind int, shard int, keys binary, counts binary"
 
 
-def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple]:
-    """(kind, shard, keys, counts) of each shard that has any; counts keep their type."""
-    of = _shard(keys, shards)
+def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int, group: int = 1) -> Iterator[tuple]:
+    """(kind, shard, keys, counts) of each group of ``group`` successive shards that has any; ``shard`` is the group's number."""
+    of = _shard(keys, shards) // group
     order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(shards + 1))
-    for s in range(shards):
-        pick = order[bounds[s] : bounds[s + 1]]
-        if len(pick):
-            yield kind, s, keys[pick].tobytes(), counts[pick].tobytes()
+    of = of[order]
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        if end > begin:
+            pick = order[begin:end]
+            yield kind, int(of[begin]), keys[pick].tobytes(), _narrow(counts[pick])
 
 
-def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _record(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "shard", "keys", "counts"])
 
 
-def count_blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """Blocks of folded counts of ``docs`` (text, held_out): words and pairs of the rows to learn from, words of others."""
+def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The folded keys and counts of blocks."""
+    if not len(rows):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+    return _fold(np.concatenate(keys), np.concatenate([_wide(c, len(k)) for k, c in zip(keys, rows["counts"], strict=True)]))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[np.ndarray]] = {WORD: [], HELD: [], PAIR: []}
 
-        def flush(least: int) -> Iterator[pa.RecordBatch]:
-            for kind, parts in waiting.items():
-                if parts and sum(map(len, parts)) >= least:
-                    keys, counts = _fold(np.concatenate(parts))
-                    for block in _blocks(kind, keys, counts.astype(np.uint32), shards):
-                        yield _record([block], ["kind", "shard", "keys", "counts"])
-                    parts.clear()
+def count_blocks(docs: DataFrame, shards: int, fanout: int = FANOUT) -> DataFrame:
+    """Blocks of folded counts of ``docs`` (text, held), by shard: words and pairs of the rows to learn from, words of others."""
+    group = max(1, -(-shards // fanout))
+
+    def flushed(waiting: dict[int, list], least: int, to: int, fold) -> Iterator[pa.RecordBatch]:
+        for kind, parts in waiting.items():
+            if parts and sum(len(p[0]) for p in parts) >= least:
+                keys, counts = fold(parts)
+                for block in _blocks(kind, keys, counts, shards, to):
+                    yield _record([block])
+                parts.clear()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {WORD: [], HELD: [], PAIR: []}
+        own = lambda parts: _fold(np.concatenate([p[0] for p in parts]))
         for batch in batches:
             texts, held = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
             for part in _spans(texts):
                 tokens, counts = hashed([texts[k] for k in part])
                 learn = np.repeat(~held[part], counts)
-                waiting[WORD].append(tokens[learn])
-                waiting[HELD].append(tokens[~learn])
-                waiting[PAIR].append(pair_keys(tokens)[learn])
-                yield from flush(FOLD)
-        yield from flush(1)
+                waiting[WORD].append((tokens[learn],))
+                waiting[HELD].append((tokens[~learn],))
+                waiting[PAIR].append((pair_keys(tokens)[learn],))
+                yield from flushed(waiting, FOLD, group, own)
+        yield from flushed(waiting, 1, group, own)
+
+    blocks = docs.mapInArrow(count, BLOCK)
+    if group == 1:
+        return blocks
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {WORD: [], HELD: [], PAIR: []}
+        both = lambda parts: _fold(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        for batch in batches:
+            for kind, _, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.frombuffer(keys, np.uint64)
+                waiting[kind].append((keys, _wide(counts, len(keys))))
+                yield from flushed(waiting, FOLD, 1, both)
+        yield from flushed(waiting, 1, 1, both)
 
-    return docs.mapInArrow(count, BLOCK)
+    return materialise(blocks, "lm-groups").repartition(-(-shards // group), "shard").mapInArrow(split, BLOCK)
 
 
-def level(counts: np.ndarray, least: int) -> np.ndarray:
-    """1 for the least count, one more for each factor RATIO."""
-    return 1 + np.floor(np.log(counts / least) / math.log(RATIO) + 1e-9).astype(np.int64)
+def level(counts: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, one more for each factor RATIO."""
+    return 1 + np.floor(np.log(counts) / math.log(RATIO) + 1e-9).astype(np.int64)
 
 
-def level_count(levels: np.ndarray, least: int) -> np.ndarray:
+def level_count(levels: np.ndarray) -> np.ndarray:
     """The middle of a level's counts on the logarithmic scale, or 0 for level 0; a level of one count has that count."""
-    low = least * RATIO ** (levels - 1.0)
+    low = RATIO ** (levels - 1.0)
     first = np.ceil(low - 1e-6)
     last = np.maximum(first, np.ceil(low * RATIO - 1e-6) - 1)
     return np.where(levels > 0, np.sqrt(first * last), 0.0)
 
 
-def _probe_bits(keys: np.ndarray, at_level: np.ndarray, probe: int, bits: np.ndarray) -> np.ndarray:
-    h = _mix(keys + at_level.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-    return ((h >> _U(32)) + _U(probe) * ((h & _U(0xFFFFFFFF)) | _U(1))) % bits
+def _entry(keys: np.ndarray, at_level: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a segment of ``size`` words that an entry is in, and the bits that it sets there."""
+    h = _mix(keys + np.full(1, at_level, np.uint64) * _U(0x9E3779B97F4A7C15 >> 1))
+    bits = _U(1) << (h & _U(63))
+    for k in range(1, PROBES):
+        bits = bits | (_U(1) << ((h >> _U(6 * k)) & _U(63)))
+    return _scaled(h, size).astype(np.int64), bits
 
 
 def _segment(keys: np.ndarray, levels: np.ndarray) -> bytes:
     """A filter segment that holds every (key, 1..level)."""
-    entries = int(levels.sum())
-    size = max(64, -(-entries * ENTRY_BITS // 64) * 64)
-    field = np.zeros(size, bool)
+    size = max(1, -(-int(levels.sum()) * ENTRY_BITS // 64))
+    field = np.zeros(size, np.uint64)
     for at in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= at]
-        for probe in range(PROBES):
-            field[_probe_bits(own, np.full(len(own), at), probe, _U(size)).astype(np.int64)] = True
-    return np.packbits(field, bitorder="little").tobytes()
+        word, bits = _entry(keys[levels >= at], at, size)
+        np.bitwise_or.at(field, word, bits)
+    return field.tobytes()
 
 
 SHARD = "kind int, shard int, tokens long, types long, n_keys long, keys binary, counts binary, bits binary"
 
 
+def _shard_row(*values) -> pd.DataFrame:
+    return pd.DataFrame([values], columns=[c.split()[0] for c in SHARD.split(", ")])
+
+
 def _merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard of words: exact counts (those seen once only if a held-out text has them too), and the filter segment."""
-    load = lambda rows: (np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]] or [np.zeros(0, np.uint32)]).astype(np.int64))
-    keys, counts = _fold(*load(pdf[pdf["kind"] == WORD]))
-    held = np.unique(load(pdf[pdf["kind"] == HELD])[0])
+    keys, counts = _gathered(pdf[pdf["kind"] == WORD])
+    held, _ = _gathered(pdf[pdf["kind"] == HELD])
     wanted = (counts > 1) | np.isin(keys, held)
-    return pd.DataFrame([(WORD, pdf["shard"].iloc[0], counts.sum(), len(keys), wanted.sum(), keys[wanted].tobytes(), counts[wanted].tobytes(), _segment(keys, level(counts, 1)))], columns=[c.split()[0] for c in SHARD.split(", ")])
+    return _shard_row(WORD, pdf["shard"].iloc[0], counts.sum(), len(keys), wanted.sum(), keys[wanted].tobytes(), counts[wanted].tobytes(), _segment(keys, level(counts)))
 
 
 def _merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard of pairs: the filter segment, and how often the kept pairs have each first word."""
-    keys, counts = _fold(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64))
-    keys, counts = keys[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
-    first, sums = _fold(keys & _FIRST, counts)
-    return pd.DataFrame([(PAIR, pdf["shard"].iloc[0], counts.sum(), len(keys), len(first), first.tobytes(), sums.tobytes(), _segment(keys, level(counts, LEAST_PAIR)))], columns=[c.split()[0] for c in SHARD.split(", ")])
+    """A shard of pairs: the filter segment."""
+    keys, counts = _gathered(pdf)
+    return _shard_row(PAIR, pdf["shard"].iloc[0], counts.sum(), len(keys), 0, b"", b"", _segment(keys, level(counts)))
 
 
 class Filter:
@@ -227,9 +236,9 @@ class Filter:
     def __init__(self, segments: dict[int, dict[int, bytes]], shards: int):
         self.shards, self.field, self.at, self.size = shards, {}, {}, {}
         for kind, own in segments.items():
-            sizes = np.array([len(own.get(s, b"")) * 8 for s in range(shards)], np.int64)
+            sizes = np.array([len(own.get(s, b"")) // 8 for s in range(shards)], np.int64)
             self.at[kind], self.size[kind] = np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
-            self.field[kind] = np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), np.uint8)
+            self.field[kind] = np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), np.uint64)
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The quantised level of each key, 0 if it isn't in."""
@@ -240,15 +249,12 @@ class Filter:
 
 
 def probed(field: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Levels of the keys, each looked up in the ``size`` bits of ``field`` from ``start``: probes for 1, 2, ... until one
+    """Levels of the keys, each looked up in the ``size`` words of ``field`` from ``start``: probes for 1, 2, ... until one
     fails."""
     found, left, at_level = np.zeros(len(keys), np.int64), np.flatnonzero(size > 0), 1
     while len(left):
-        own_size, own_start = size[left].astype(np.uint64), start[left]
-        for probe in range(PROBES):
-            bit = _probe_bits(keys[left], np.full(len(left), at_level), probe, own_size).astype(np.int64) + own_start
-            is_in = (field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            left, own_size, own_start = left[is_in], own_size[is_in], own_start[is_in]
+        word, bits = _entry(keys[left], at_level, size[left])
+        left = left[field[word + start[left]] & bits == bits]
         found[left] = at_level
         at_level += 1
     return found
@@ -258,7 +264,7 @@ def _log_base(counts: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((counts + 1) / (n + v + 1))
 
 
-def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", *, filter_bytes: int = FILTER_BYTES, exact_words: int = EXACT_WORDS, shard_bytes: int = SHARD_BYTES, most_passes: int = MOST_PASSES) -> DataFrame:
+def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", *, filter_bytes: int = FILTER_BYTES, exact_words: int = EXACT_WORDS, shard_bytes: int = SHARD_BYTES, most_passes: int = MOST_PASSES, fanout: int = FANOUT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, learned, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, and one end for each text; a null text has the end
@@ -269,39 +275,26 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~F.coalesce(learn_from, F.lit(False))).alias("held"))
     total = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    blocks = materialise(count_blocks(read.select("text", "held"), shards), "lm-blocks")
-    words = blocks.where(F.col("kind") != PAIR).groupBy("shard").applyInPandas(_merge_words, SHARD)
-    pairs = blocks.where(F.col("kind") == PAIR).groupBy("shard").applyInPandas(_merge_pairs, SHARD)
-    merged = materialise(words.unionByName(pairs), "lm-shards")
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                for block in _blocks(KEPT, np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64), shards):
-                    yield _record([block], ["kind", "shard", "keys", "counts"])
-
-    def merge_kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _fold(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.int64) for c in pdf["counts"]]))
-        return pd.DataFrame([(KEPT, pdf["shard"].iloc[0], 0, len(keys), 0, b"", b"", _segment(keys, level(counts, LEAST_PAIR)))], columns=[c.split()[0] for c in SHARD.split(", ")])
-
-    kept = materialise(merged.where(F.col("kind") == PAIR).select("keys", "counts").mapInArrow(scatter, BLOCK).groupBy("shard").applyInPandas(merge_kept, SHARD), "lm-kept")
-    sums = {r["kind"]: r for r in merged.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("n_keys").alias("n_keys")).collect()}
-    n, v, n_exact = ((sums[WORD][k] for k in ("tokens", "types", "n_keys")) if WORD in sums else (0, 0, 0))
-    segments = merged.select("kind", "shard", "bits").unionByName(kept.select("kind", "shard", "bits"))
-    sizes = [(r["kind"], r["shard"], r["size"]) for r in segments.select("kind", "shard", F.octet_length("bits").alias("size")).collect()]  # a row for each 32 MB of text
-    room = filter_bytes - sum(size for kind, _, size in sizes if kind != PAIR)  # words and histories go out in every pass
-    passes = [[]]
-    of_pairs = dict.fromkeys(range(shards), 0) | {shard: size for kind, shard, size in sizes if kind == PAIR}  # every shard is in one pass, an empty one too
-    for shard, size in of_pairs.items():
-        if passes[-1] and sum(s for _, s in passes[-1]) + size > room:
-            passes.append([])
-        passes[-1].append((shard, size))
-    fits = max(sum(s for _, s in own) for own in passes) <= room and len(passes) <= most_passes
-
+    blocks = materialise(count_blocks(read.select("text", "held"), shards, fanout), "lm-blocks")
+    merge = lambda kinds, how: blocks.where(kinds).repartition(shards, "shard").groupBy("shard").applyInPandas(how, SHARD)
+    merged = materialise(merge(F.col("kind") != PAIR, _merge_words).unionByName(merge(F.col("kind") == PAIR, _merge_pairs)), "lm-shards")
+    size = F.octet_length("bits")
+    sums = {r["kind"]: r for r in merged.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tokens", "types", "n_keys")], F.sum(size).alias("bytes"), F.max(size).alias("most")).collect()}
+    n, v, n_exact, word_bytes = ((sums[WORD][k] for k in ("tokens", "types", "n_keys", "bytes")) if WORD in sums else (0, 0, 0, 0))
+    pair_bytes, most = ((sums[PAIR]["bytes"], sums[PAIR]["most"]) if PAIR in sums else (0, 0))
+    room = filter_bytes - word_bytes  # words go out in every pass
     numbered = read.select("doc_id", "held", F.monotonically_increasing_id().alias("row_no"), "text")
     columns = ["doc_id", (~F.col("held")).alias("learned"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
-    if n_exact > exact_words or not fits:
-        return _asked_scores(numbered, merged, kept, shards, n, v).select(*columns)
+    passes: list[list[tuple[int, int]]] = [[]]
+    fits = most <= room and pair_bytes <= room * most_passes and n_exact <= exact_words
+    if fits:
+        of_pairs = dict.fromkeys(range(shards), 0) | {r["shard"]: r["size"] for r in merged.where(F.col("kind") == PAIR).select("shard", size.alias("size")).collect()}  # a filter that fits has few
+        for shard, own in of_pairs.items():  # every shard is in one pass, an empty one too
+            if passes[-1] and sum(s for _, s in passes[-1]) + own > room:
+                passes.append([])
+            passes[-1].append((shard, own))
+    if not fits or len(passes) > most_passes:
+        return _asked_scores(numbered, merged, shards, n, v).select(*columns)
 
     context = docs.sparkSession.sparkContext
     rows = merged.where(F.col("kind") == WORD).select("keys", "counts").toPandas()
@@ -314,13 +307,17 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
         numbered = materialise(numbered, "lm-rows")
     parts = []
     for number, own in enumerate(passes):
-        wanted = segments.where((F.col("kind") != PAIR) | F.col("shard").isin([s for s, _ in own]))
+        wanted = merged.where((F.col("kind") != PAIR) | F.col("shard").isin([s for s, _ in own])).select("kind", "shard", "bits")
         bits: dict[int, dict[int, bytes]] = {}
         for r in wanted.toLocalIterator():
             bits.setdefault(r["kind"], {})[r["shard"]] = bytes(r["bits"])
         field = context.broadcast(Filter(bits, shards))
-        parts.append(numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{_ddl(numbered, 'doc_id')}, held boolean, row_no long, {SCORES}"))
         del bits
+        part = numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{_ddl(numbered, 'doc_id')}, held boolean, row_no long, {SCORES}")
+        if len(passes) > 1:  # one pass's filter at a time
+            part = materialise(part, "lm-pass")
+            field.unpersist()
+        parts.append(part)
     scored = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -349,17 +346,13 @@ def _known_counts(count: np.ndarray, of: np.ndarray, held: np.ndarray, counts: n
     return np.where(np.repeat(~held, counts) & (count[of] == 0), 1, count[of])
 
 
-def _token_probabilities(tokens: np.ndarray, words: np.ndarray, of: np.ndarray, pairs: np.ndarray, levels, n: int, v: int) -> np.ndarray:
+def _token_probabilities(words: np.ndarray, of: np.ndarray, pairs: np.ndarray, levels, n: int, v: int) -> np.ndarray:
     """p(w | h) of each token; ``levels(kind, keys)`` gives quantised levels, and ``of`` the place in the sorted ``words``."""
-    single_count = level_count(levels(WORD, words), 1)
+    single_count = level_count(levels(WORD, words))
     single = (single_count + ADDED) / (n + ADDED * (v + 1))
-    kept = level_count(levels(KEPT, words & _FIRST), LEAST_PAIR)
     before = np.concatenate(([np.searchsorted(words, END)], of[:-1]))
-    pair = level_count(levels(PAIR, pairs), LEAST_PAIR)
-    below = single_count[before] + MASS
-    # the quantised sum must leave the single words what the quantised pairs leave them, and never less than a hundredth
-    rest = np.maximum(1 - np.minimum(kept[before], single_count[before]) / below, 0.01)
-    return np.minimum(np.minimum(pair, single_count[before]) / below + rest * single[of], 1.0)
+    pair = np.minimum(level_count(levels(PAIR, pairs)), single_count[before])
+    return np.minimum((pair + MASS * single[of]) / (single_count[before] + MASS), 1.0)
 
 
 def _scorer(field, exact, n: int, v: int, first: bool, own: frozenset[int]):
@@ -382,16 +375,16 @@ def _scorer(field, exact, n: int, v: int, first: bool, own: frozenset[int]):
                     c = _known_counts(c, of, held[part], counts)
                     known, base = np.add.reduceat((c > 0).astype(np.int64), begin), np.add.reduceat(_log_base(c, n, v), begin)
                 pairs = pair_keys(tokens)
-                p = _token_probabilities(tokens, words, of, pairs, held_filter.levels, n, v)
-                here = in_pass[_shard(pairs, held_filter.shards)]
-                found.append(np.stack([counts * first, known, base, np.add.reduceat(np.where(here, np.log10(p), 0.0), begin)]))
+                p = np.log10(_token_probabilities(words, of, pairs, held_filter.levels, n, v))
+                here = p if in_pass.all() else np.where(in_pass[_shard(pairs, held_filter.shards)], p, 0.0)
+                found.append(np.stack([counts * first, known, base, np.add.reduceat(here, begin)]))
             values = np.concatenate(found, 1) if found else np.zeros((4, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values[0].astype(np.int64)), pa.array(values[1].astype(np.int64)), pa.array(values[2]), pa.array(values[3])], names=["doc_id", "held", "row_no", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
 
-def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shards: int, n: int, v: int) -> DataFrame:
+def _asked_scores(numbered: DataFrame, merged: DataFrame, shards: int, n: int, v: int) -> DataFrame:
     """Scores of ``numbered`` without a broadcast: distinct keys of each lot go to their shards and come back answered.
 
     A task holds one shard, or one lot of texts with its answers; a word that every text has is asked once for a lot.
@@ -413,7 +406,7 @@ def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shard
                 if begin == end:
                     continue
                 tokens, _ = hashed(texts[begin:end])
-                for kind, keys in ((WORD, np.unique(tokens)), (KEPT, np.unique(tokens & _FIRST)), (PAIR, np.unique(pair_keys(tokens)))):
+                for kind, keys in ((WORD, np.unique(tokens)), (PAIR, np.unique(pair_keys(tokens)))):
                     blocks = list(_blocks(kind, keys, np.zeros(len(keys), np.uint8), shards))
                     yield pa.RecordBatch.from_arrays([pa.array([lot[begin]] * len(blocks), pa.int64()), *(pa.array([b[k] for b in blocks], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], names=["lot", "kind", "shard", "keys"])
 
@@ -425,11 +418,11 @@ def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shard
                 name, keys = (kind.as_py(), shard.as_py()), np.frombuffer(keys.as_py(), np.uint64)
                 if bits.is_valid:
                     exact = (keys, np.frombuffer(counts.as_py(), np.int64)) if name[0] == WORD else None
-                    held = (name, np.frombuffer(bits.as_py(), np.uint8), exact)
+                    held = (name, np.frombuffer(bits.as_py(), np.uint64), exact)
                     continue
                 found, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
                 if held and held[0] == name:
-                    found = probed(held[1], keys, np.full(len(keys), len(held[1]) * 8), np.zeros(len(keys), np.int64))
+                    found = probed(held[1], keys, np.full(len(keys), len(held[1])), np.zeros(len(keys), np.int64))
                     if held[2] and len(held[2][0]):
                         at = np.minimum(np.searchsorted(held[2][0], keys), len(held[2][0]) - 1)
                         count = np.where(held[2][0][at] == keys, held[2][1][at], 0)
@@ -440,14 +433,14 @@ def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shard
 
     asked = lots.select("lot", "text").mapInArrow(ask, "lot long, kind int, shard int, keys binary")
     asked = asked.select("*", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("bits"))
-    held = [df.select(F.lit(None).cast("long").alias("lot"), "kind", "shard", "keys", "counts", "bits") for df in (merged, kept)]
-    met = asked.unionByName(held[0]).unionByName(held[1]).repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.col("bits").isNull())
+    held = merged.select(F.lit(None).cast("long").alias("lot"), "kind", "shard", "keys", "counts", "bits")
+    met = asked.unionByName(held).repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.col("bits").isNull())
     answers = met.mapInArrow(answer, "lot long, kind int, keys binary, levels binary, counts binary")
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values("row_no")
         tables = {}
-        for kind in (WORD, KEPT, PAIR):
+        for kind in (WORD, PAIR):
             rows = known[known["kind"] == kind]
             load = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]] or [np.zeros(0, t)])  # noqa: E731, B023
             keys = load("keys", np.uint64)
@@ -457,7 +450,7 @@ def _asked_scores(numbered: DataFrame, merged: DataFrame, kept: DataFrame, shard
         begin = np.cumsum(counts) - counts
         words, of = np.unique(tokens, return_inverse=True)
         look_up = lambda kind, keys: tables[kind][1][np.searchsorted(tables[kind][0], keys)]
-        p = _token_probabilities(tokens, words, of, pair_keys(tokens), look_up, n, v)
+        p = _token_probabilities(words, of, pair_keys(tokens), look_up, n, v)
         c = _known_counts(tables[WORD][2][np.searchsorted(tables[WORD][0], words)], of, texts["held"].to_numpy(bool), counts)
         made = {"n_tokens": counts, "n_known": np.add.reduceat((c > 0).astype(np.int64), begin), "base_score": np.add.reduceat(_log_base(c, n, v), begin), "score": np.add.reduceat(np.log10(p), begin)}
         return pd.DataFrame({"row_no": texts["row_no"], **made})
