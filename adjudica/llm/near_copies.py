@@ -1,30 +1,38 @@
-"""Near copies by the general rule: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
-
-Candidates come from MinHash: a text has ``BANDS`` keys, each made of ``ROWS`` minima of its hashed shingles, and texts that
-share a key are candidates.  A pair of similarity s shares none with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, and
-less above.  Candidates are then held against the rule on their whole shingle sets, so only true links are made.
-
-A key that many texts share would yield a square of pairs, so links are made in two rounds.  First each text of a key is
-held against the key's least.  Where that does not join all texts of the key into one component, the pairs whose ends are
-still apart are held against the rule too: the components are those of all candidates.
+"""Candidates and proof for SimHash near-dedup at a similarity of shingle sets, where few bits of difference miss too much.
+
+At a Jaccard similarity of 0.8, fingerprints of 64 bits differ in 10 bits in the mean and in up to 20: no segment of the
+ring need be equal, so segments can't be join keys.  Candidates come from ``BANDS`` keys instead, each made of ``ROWS``
+minima of the hashed shingles; a pair of similarity s shares none with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, and
+less above.  Pigeonring budgets and the Hamming check of :mod:`simhash`, for ``MOST`` bits, prune them; the rest are held
+against the rule on their whole shingle sets, so only true links are made.
+
+A key that many texts share would yield a square of pairs, so links are made in rounds.  First each text of a key is held
+against the key's least.  Keys whose texts that leaves in several components go on: of a key with at most ``CROWD`` texts,
+all pairs between components are held against the rule; of a larger one, each text outside the component of the key's *hub*
+is held against the hub, the text with most links so far that hasn't been one.  Rounds end when one makes no new link, or
+after ``HUBS`` of them.  Copies of one original all link to it, so it becomes a hub; what may be missed is a link between
+two families in a crowded key that no hub is part of, in each of the ten keys or more that such a pair shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adjudica.llm.components import component_roots
-from adjudica.llm.shared import join_folded, keep_rows, materialise, small
+from adjudica.llm.shared import materialise, small
 
-SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 24, 4
+SEED, BANDS, ROWS = 42, 24, 4
+#: A key of at most so many texts has all its pairs held against the rule; larger ones have at most so many hubs.
+CROWD, HUBS = 16, 6
+#: Differing bits of 64 that two sets of similarity 0.8 pass with a chance below 1e-6, small sets too.
+MOST = 28
 #: Shingles whose minima are taken at a time, which bounds the memory that a very long text takes.
 BLOCK = 10_000
 
@@ -32,6 +40,16 @@ _U = np.uint64
 _FACTORS = np.random.default_rng(10).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | _U(1)
 
 
+_ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # the 8 bits of a byte, lowest first
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _ONES for k in range(8)])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -45,11 +63,11 @@ def _chained(parts: Iterable[np.ndarray], start: np.ndarray) -> np.ndarray:
     return start
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashed shingles, sorted.  A text of fewer words is one shingle, and so is one without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and ASCII white space only
     hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    size = min(SHINGLE, len(words))
+    size = min(shingle, len(words))
     n = len(words) - size + 1
     return np.unique(_chained((hashes[k : k + n] for k in range(size)), np.full(n, size, np.uint64)))
 
@@ -62,62 +80,68 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return _chained(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _keys(texts: pd.Series) -> pd.Series:
-    return pd.Series([band_keys(shingles(t)).view(np.int64) for t in texts])
+def sketches(text: Column, shingle: int) -> Column:
+    """Struct of ``keys`` and ``fingerprint``, the SimHash of the set of shingles."""
 
+    @F.pandas_udf("keys array<long>, fingerprint long")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        own = [shingles(t, shingle) for t in texts]
+        prints = np.array([majority(s) for s in own], np.uint64).view(np.int64)
+        return pd.DataFrame({"keys": [band_keys(s).view(np.int64) for s in own], "fingerprint": prints})
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).view(np.int64) for t in texts])
+    return made(text)
 
 
-def true_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(text: Column, shingle: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, shingle).view(np.int64) for t in texts])
+
+    return made(text)
+
+
+def true_links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``pairs`` (u, v) that the rule links; ``texts`` has (node, text) for each node, which may repeat."""
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
-    sets = materialise(texts.join(small(nodes), "node", "left_semi").select("node", _sets("text").alias("own")).dropDuplicates(["node"]), "near-sets")
+    wanted = texts.join(small(nodes), "node", "left_semi").select("node", _sets(F.col("text"), shingle).alias("own"))
+    sets = materialise(wanted.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("u", "v")
-
-
-def near_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Edges (u, v), enough of the true ones that the components are those of all candidates; ``keyed`` has (node, keys)."""
-    members = keyed.select("node", F.explode("keys").alias("key"))
-    counts = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    members = materialise(members.join(counts, "key"), "near-keys")
-    stars = materialise(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "near-stars")
-    light = materialise(true_links(stars, texts), "near-links")
-    roots = component_roots(light).select(F.col("u").alias("node"), "root")
-    rooted = materialise(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    apart = materialise(rooted.join(apart, "key"), "near-apart")
-    other = apart.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    pairs = apart.select("key", F.col("node").alias("u"), "root").join(other, "key").where("u < v AND root <> root_v").select("u", "v").distinct()
-    return light.unionByName(true_links(materialise(pairs.join(stars, ["u", "v"], "left_anti"), "near-pairs"), texts))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, raw_hash (xxhash64 of the text), component_id, row_kept.
-
-    Words are runs without ASCII white space after A-Z -> a-z.  Equal texts are one node.  ``component_id`` is the smallest
-    id that links reach (a null id only where no row of the component has one).  Rows that repeat each get their row.
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def similar_links(texts: DataFrame, sketched: DataFrame, possible: Callable[[Column], Column], shingle: int, similarity: float, *, crowd: int = CROWD, hubs: int = HUBS) -> DataFrame:
+    """Edges (u, v): true links, as many as the rounds need to find the components of the candidates.
+
+    ``sketched`` has (node, keys, fingerprint), ``texts`` (node, text); ``possible`` tells of the XOR of two fingerprints
+    whether the pair passes the ring's budgets and the Hamming check.
     """
-    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw_hash"), _keys(F.col(text_col)).alias("keys")), "near-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_hash")).alias("first")
-    classes = materialise(rows.groupBy("raw_hash").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys")), "near-classes")
-    roots = component_roots(near_links(texts, classes.select(F.col("raw_hash").alias("node"), "keys")))
-    rooted = classes.drop("keys").join(roots.withColumnRenamed("u", "raw_hash"), "raw_hash", "left").withColumn("root", F.coalesce("root", "raw_hash"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of_class = materialise(rooted.select("raw_hash", "root", "n").join(least, "root").select("raw_hash", "least", "n"), "near-roots")
-    n_rows = of_class.agg(F.sum("n")).first()[0] or 0
-    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("raw_hash") == F.col("least.raw_hash"))
-    return join_folded(rows.drop("keys"), of_class, ["raw_hash"], n_rows).select("doc_id", "raw_hash", F.col("least.doc_id").alias("component_id"), kept.alias("row_kept"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id.  All columns as they came."""
-    found = near_groups(docs, id_col, text_col)
-    decisions = found.groupBy("doc_id", "raw_hash").agg(F.max("row_kept").alias("kept"), F.count("*").alias("n_rows"))
-    return keep_rows(docs, materialise(decisions, "near-decisions"), ["doc_id", "raw_hash"], [F.col(id_col), F.xxhash64(text_col)])
+    members = sketched.select("node", "fingerprint", F.explode("keys").alias("key"))
+    counts = members.groupBy("key").agg(F.min(F.struct("node", "fingerprint")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    opened = materialise(members.join(counts, "key"), "near-keys")
+    passes = possible(F.col("fingerprint").bitwiseXOR(F.col("hub.fingerprint")))
+    stars = opened.where("node <> hub.node").where(passes).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
+    links = materialise(true_links(materialise(stars, "near-stars"), texts, shingle, similarity), "near-links")
+    opened = opened.select("key", "node", "fingerprint", (F.col("node") == F.col("hub.node")).alias("was_hub"))
+    for number in range(hubs):
+        roots = component_roots(links).select(F.col("u").alias("node"), "root")
+        rooted = opened.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = materialise(rooted, "near-rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+        rooted = materialise(rooted.join(apart, "key"), "near-apart")
+        left, right = (rooted.where(F.col("n") <= crowd).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "fingerprint")]) for side in "uv")
+        pairs = left.join(right, "key").where("node_u < node_v AND root_u <> root_v").where(possible(F.col("fingerprint_u").bitwiseXOR(F.col("fingerprint_v"))))
+        pairs = pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+        degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        crowded = rooted.where(F.col("n") > crowd).join(degrees, "node", "left")
+        best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "root", "fingerprint")).alias("hub")
+        chosen = crowded.where(~F.col("was_hub")).groupBy("key").agg(best)
+        crowded = materialise(crowded.join(chosen, "key"), "near-crowded")
+        tested = crowded.where("root <> hub.root").where(passes).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
+        pairs = materialise(pairs.unionByName(tested).distinct(), "near-pairs")
+        found = materialise(true_links(pairs, texts, shingle, similarity), "near-links")
+        if not found.limit(1).count():
+            break
+        links = materialise(links.unionByName(found), "near-links")
+        opened = crowded.select("key", "node", "fingerprint", (F.col("was_hub") | (F.col("node") == F.col("hub.node"))).alias("was_hub"))
+    return links

@@ -10,6 +10,10 @@ Only distinct fingerprints take part; copies follow their fingerprint.  Keys sha
 (one family of near copies) would yield a square of pairs, so their members are linked otherwise, and exactly: each puts
 its 65 fingerprints at distance 0 or 1 on a table, and two meet there if and only if they differ in at most 2 bits.  A
 row of that table never has more than 65 members; they are linked to the least, as a star of true links.
+
+With ``similarity`` the rule is a Jaccard similarity of shingle sets instead of a number of bits.  Candidates then come from
+:mod:`near_copies`, as equal segments can't be demanded at that distance; the ring's budgets and the Hamming check prune
+them, at a number of bits that such pairs keep within, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adjudica.llm import near_copies
 from adjudica.llm.components import component_roots
 from adjudica.llm.shared import join_folded, keep_rows, materialise
 
@@ -54,16 +59,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def _fingerprints(text: Column, shingle: int) -> Column:
+    @F.pandas_udf(T.LongType())
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return made(text)
 
 
 def _segment(value: Column, k: int) -> Column:
     return F.shiftrightunsigned(value, WIDTH * (k % SEGMENTS)).bitwiseAND((1 << WIDTH) - 1)
 
 
-def _within_budgets(differ: Column) -> Column:
+def _within_budgets(differ: Column, most: int = MOST) -> Column:
     """True where some start of the ring keeps all its chains within their budgets."""
     count = [F.bit_count(_segment(differ, k)) for k in range(SEGMENTS)]
     starts = []
@@ -71,7 +79,7 @@ def _within_budgets(differ: Column) -> Column:
         chain, total = F.lit(True), F.lit(0)
         for length in range(1, SEGMENTS + 1):
             total = total + count[(i + length - 1) % SEGMENTS]
-            chain = chain & (total <= MOST * length // SEGMENTS)
+            chain = chain & (total <= most * length // SEGMENTS)
         starts.append(chain)
     return starts[0] | starts[1] | starts[2] | starts[3]
 
@@ -100,25 +108,41 @@ def fingerprint_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return light.unionByName(heavy)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, crowd: int = CROWD) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float | None = None, crowd: int = CROWD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, raw_hash, row_kept.
 
-    Words are runs without ASCII white space after A-Z -> a-z; shingles have 3 words, repeats included; a text of fewer
-    words is one shingle, one without words (null, empty, blank) has the fingerprint zero and links like any other.
-    ``component_id`` is the smallest id that links of 2 or fewer differing bits reach (a null id only where no row of the
-    component has one).  Rows that repeat an id or a whole row each get their row.  Empty tables give no rows; other
-    columns are not read.  ``raw_hash`` is xxhash64 of the text.
+    Words are runs without ASCII white space after A-Z -> a-z; shingles have ``shingle`` words; a text of fewer words is one
+    shingle.  Without ``similarity``, shingles count as often as they occur, a text without words (null, empty, blank) has
+    the fingerprint zero, and fingerprints link at 2 or fewer differing bits.  With it, fingerprints are of the set of
+    shingles, all texts without words are alike, and texts link whose sets have at least that Jaccard similarity; it must be
+    0.8 or more, which the candidates are laid out for.  ``component_id`` is the smallest id that links reach (a null id
+    only where no row of the component has one).  Rows that repeat an id or a whole row each get their row.  Empty tables
+    give no rows; other columns are not read.  ``raw_hash`` is xxhash64 of the text.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw_hash"), _fingerprints(F.col(text_col)).alias("fingerprint"))
-    rows = materialise(rows, "simhash-rows")
-    classes = materialise(rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_hash")).alias("first"), F.count("*").alias("n")), "simhash-classes")
-    roots = component_roots(fingerprint_links(classes.select("fingerprint"), crowd))
-    rooted = classes.join(roots.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_hash")).alias("first")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw_hash"), F.col(text_col).alias("text"))
+    if similarity is None:
+        rows = materialise(rows.select("doc_id", "raw_hash", _fingerprints(F.col("text"), shingle).alias("fingerprint")), "simhash-rows")
+        node = "fingerprint"
+        classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n")), "simhash-classes")
+        links = fingerprint_links(classes.select(node), crowd)
+    else:
+        if not 0.8 <= similarity <= 1:
+            raise ValueError("similarity must be from 0.8 to 1")
+        texts = rows.select(F.col("raw_hash").alias("node"), "text")
+        rows = materialise(rows.select("doc_id", "raw_hash", near_copies.sketches(F.col("text"), shingle).alias("s")).select("doc_id", "raw_hash", "s.*"), "simhash-rows")
+        node = "raw_hash"
+        classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("fingerprint").alias("fingerprint")), "simhash-classes")
+        possible = lambda differ: _within_budgets(differ, near_copies.MOST) & (F.bit_count(differ) <= near_copies.MOST)
+        links = near_copies.similar_links(texts, classes.select(F.col(node).alias("node"), "keys", "fingerprint"), possible, shingle, similarity)
+        rows = rows.drop("keys")
+    rooted = classes.select(node, "first", "n").join(component_roots(links).withColumnRenamed("u", node), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of_class = materialise(rooted.select("fingerprint", "root", "n").join(least, "root").select("fingerprint", "least", "n"), "simhash-roots")
+    of_class = materialise(rooted.select(node, "root", "n").join(least, "root").select(node, "least", "n"), "simhash-roots")
     n_rows = of_class.agg(F.sum("n")).first()[0] or 0
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("raw_hash") == F.col("least.raw_hash"))
-    return join_folded(rows, of_class, ["fingerprint"], n_rows).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "raw_hash", kept.alias("row_kept"))
+    hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return join_folded(rows, of_class, [node], n_rows).select("doc_id", hexed, F.col("least.doc_id").alias("component_id"), "raw_hash", kept.alias("row_kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from adjudica.llm import near_copies
+from adjudica.llm import simhash
 from tests.llm.conftest import EN, SCHEMA, prose, row
 from tests.llm.test_simhash import roots
 
@@ -48,7 +48,7 @@ def test_odd_rows(odd, odd_rows, empty):
         if r[0] is not None:
             least[root[i]] = min(least.get(root[i], r[0]), r[0])
     wanted = sorted((str(r[0]), str(least.get(root[i]))) for i, r in enumerate(odd_rows))
-    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in near_copies.near_groups(odd).collect()) == wanted
-    kept = near_copies.drop_near_copies(odd)
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_groups(odd, shingle=5, similarity=0.8).collect()) == wanted
+    kept = simhash.drop_near_copies(odd, shingle=5, similarity=0.8)
     assert kept.columns == odd.columns and kept.count() == len(set(root.values()))
-    assert near_copies.near_groups(empty).count() == near_copies.drop_near_copies(empty).count() == 0
+    assert simhash.near_groups(empty, shingle=5, similarity=0.8).count() == simhash.drop_near_copies(empty, shingle=5, similarity=0.8).count() == 0

@@ -1,5 +1,6 @@
 """The registered queries against their SQL and brute force, and the pipeline's stages."""
 
+import itertools
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from adjudica.llm import oracle, queries
-from tests.llm.test_simhash import plain_fingerprint
+from tests.llm.test_near_copies import plain_set, similar
 
 
 def test_names():
@@ -55,16 +56,16 @@ def test_stages(spark, odd, odd_rows, empty):
             assert out.columns == odd.columns
         texts = Counter(r[0] for r in out.select(out.columns[1] if name == "best_fit_packing" else "text").collect())
         if name == "language_id":
-            assert texts == Counter(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
+            lettered = Counter(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
+            assert texts <= lettered and texts.total() > 0.8 * lettered.total()
         elif name == "exact_dedup":
             norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
             before = {norm(r["text"]) for r in docs.collect()}
             assert Counter(map(norm, texts.elements())) == Counter(before)
         elif name == "near_dedup":
-            before = {plain_fingerprint(r["text"]) for r in docs.collect()}
-            after = [plain_fingerprint(t) for t in texts.elements()]
-            assert len(after) == len(set(after)) and set(after) <= before
-            assert all(any((p ^ q).bit_count() <= 2 for q in after) or p in after for p in before)
+            before, after = ([plain_set(t) for t in (r["text"] for r in df.collect())] for df in (docs, out))
+            assert all(not similar(a, b) for a, b in itertools.combinations(after, 2))
+            assert all(any(similar(a, b) for b in after) for a in before)
         elif name == "best_fit_packing":
             assert out.agg(F.sum("length")).first()[0] > 0
         assert stage(spark, empty, "unused").count() == 0
