@@ -64,6 +64,17 @@ def grams(words: Column, n: int = 8) -> Column:
     return let(words, runs)
 
 
+def hashed_run(words: Column, n: int = 8) -> Column:
+    """Hashes of all runs of n words, in order; none for fewer words.  Equal runs have equal hashes."""
+    none = F.array().cast("array<bigint>")
+
+    def runs(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(h) - n)
+        return F.when(F.size(h) >= n, F.transform(at, lambda i: F.xxhash64(*[h[i + k] for k in range(n)]))).otherwise(none)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
 def title_and_abstract(state: Column) -> Column:
     """'Title: ...' line and the text after 'Abstract:', joined by a space; the whole state where either is missing."""
     title = F.regexp_extract(state, r"(?m)^Title: (.*)$", 1)

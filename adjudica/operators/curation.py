@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.functions.text import grams, hex_modulo_10, normalised, tokens
+from adjudica.functions.text import grams, hashed_run, hex_modulo_10, let, normalised, tokens
+from adjudica.operators.folding import join_folded, spread, staged
+from adjudica.sources.files import running_ids
 
 #: Index grams up to this many are broadcast; a larger index is joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 
 
 def token_table(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, norm, words) of each text."""
-    norm = texts.select(F.col(key), normalised(F.col(text)).alias("norm"))
-    return norm.select(key, "norm", tokens(F.col("norm")).alias("words"))
+    """(key, norm, words) of each text; the text is normalised once."""
+    made = let(normalised(F.col(text)), lambda norm: F.struct(norm.alias("norm"), tokens(norm).alias("words")))
+    return spread(texts.select(key, text)).select(key, made.alias("t")).select(key, "t.norm", "t.words")
 
 
 def gram_index(bank: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    """(gram, first_key): each n-gram of the bank with its smallest key.  Fails if the bank has no text."""
+    """(gram, first_key): each n-gram of the bank with its smallest key, written once."""
     words = token_table(bank, key, text)
     index = words.select(key, F.explode(grams(F.col("words"), n)).alias("gram")).groupBy("gram").agg(F.min(key).alias("first_key"))
-    return index
+    return staged(index, "gram-index")
 
 
 def index_size(index: DataFrame) -> int:
@@ -35,41 +37,61 @@ def index_size(index: DataFrame) -> int:
 def gram_hits(texts: DataFrame, key: str, text: str, index: DataFrame, n: int = 8) -> DataFrame:
     """(key, first_key) of texts that share an n-gram with the index, with the smallest bank key they share.
 
-    Grams are exploded and probed within a task; only hits are shuffled.
+    Texts probe by the hashes of their grams, exploded within a task, and no gram is built as a string; only the texts that
+    meet a hash are tokenised again and held against the grams themselves.
     """
-    probe = F.broadcast(index) if index_size(index) <= BROADCAST_GRAMS else index
+    fits = index_size(index) <= BROADCAST_GRAMS
+    hashed_index = index.select(hashed_run(F.split("gram", " "), n)[0].alias("hash"), "gram", "first_key")
+    probe = F.broadcast(hashed_index) if fits else hashed_index
     words = token_table(texts, key, text)
-    each = words.select(key, F.explode(grams(F.col("words"), n)).alias("gram"))
-    return each.join(probe, "gram").groupBy(key).agg(F.min("first_key").alias("first_key"))
+    each = words.select(key, F.explode(hashed_run(F.col("words"), n)).alias("hash"))
+    met = staged(each.join(probe, "hash").select(key, "gram", "first_key").distinct(), "gram-met")
+    few = met.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    keys = met.select(key).distinct()
+    again = token_table(texts.join(F.broadcast(keys) if few else keys, key, "left_semi"), key, text)
+    spaced = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
+    real = again.join(met, key).where(F.instr(spaced, F.concat(F.lit(" "), F.col("gram"), F.lit(" "))) > 0)
+    return real.groupBy(key).agg(F.min("first_key").alias("first_key"))
 
 
 def index_digest(index: DataFrame) -> DataFrame:
-    """(grams, digest): the number of grams, and a digest that does not depend on their order.
+    """(grams, digest): the number of grams, and the sha256 over all grams in order, each with its key.
 
-    The sum of 52-bit prefixes of each gram's md5: it is formed by partial sums, where sorting all grams in one task would
-    not grow with the index.
+    Grams are dealt to 256 parts by their own sha256; a part is the sha256 of its sorted lines 'gram<tab>key', and the digest
+    that of the parts in order.  So no task sorts the whole index, and a gram or key that changes changes the digest.
     """
-    part = F.conv(F.substring(F.md5("gram"), 1, 13), 16, 10).cast("decimal(20,0)")
-    return index.agg(F.count("*").alias("grams"), F.sum(part).cast("string").alias("digest"))
+    line = F.concat_ws("\t", "gram", F.col("first_key").cast("string"))
+    parts = index.groupBy(F.substring(F.sha2("gram", 256), 1, 2).alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(line)).alias("lines"))
+    digests = parts.select("part", "n", F.sha2(F.array_join("lines", "\n"), 256).alias("d"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: F.concat(x["part"], x["d"]))
+    return digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("grams"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
 
 
 def first_wins(texts: DataFrame, key: str, norm_key: Column) -> DataFrame:
-    """(key, first, kept): of rows of equal ``norm_key`` the smallest key stays.  Copies fold before the shuffle."""
-    keyed = texts.select(F.col(key), norm_key.alias("norm_key"))
-    firsts = keyed.groupBy("norm_key").agg(F.min(key).alias("first"))
-    return keyed.join(firsts, "norm_key").select(key, "first", (F.col(key) == F.col("first")).alias("kept"))
+    """(key, first, kept): of rows of equal ``norm_key`` (null is a key like any other) the smallest key stays.
 
+    Copies fold before the shuffle, and rows of a hot key stay in place.
+    """
+    keyed = staged(spread(texts).select(F.col(key), norm_key.alias("norm_key")), "first-wins")
+    firsts = keyed.groupBy("norm_key").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    n_rows = keyed.count()
+    return join_folded(keyed, firsts, ["norm_key"], n_rows).select(key, "first", (F.col(key) == F.col("first")).alias("kept"))
+
+
+def filter_reasons(texts: DataFrame, key: str, text: str, index: DataFrame, excluded: Column, n: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, reason): 'key' for excluded keys, else 'ngram' for hits of the index, else 'duplicate' of an earlier row
+    that is kept, else 'kept'.  Only kept texts count as seen, so a copy of a contaminated text is booked as n-gram.
 
-def filter_reasons(texts: DataFrame, key: str, text: str, index: DataFrame, excluded: Column, n: int = 8) -> DataFrame:
-    """(key, reason): 'key' for excluded keys, else 'ngram' for hits of the index, else 'duplicate' of an earlier row that
-    is kept, else 'kept'.  Only kept texts count as seen, so a copy of a contaminated text is booked as n-gram."""
-    hits = gram_hits(texts, key, text, index, n).select(key, F.lit(True).alias("hit"))
+    What the reasons need of a row, a hash and two flags, is written once; texts do not move.
+    """
+    hits = staged(gram_hits(texts, key, text, index, n).select(key, F.lit(True).alias("hit")), "gram-hits")
+    hits = F.broadcast(hits) if hits.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else hits
     norm = F.sha2(normalised(F.col(text)), 256)
-    keyed = texts.select(key, norm.alias("norm_key"), F.coalesce(excluded, F.lit(False)).alias("excluded"))
-    flagged = keyed.join(hits, key, "left").withColumn("out", F.col("excluded") | F.coalesce("hit", F.lit(False)))
-    firsts = flagged.where(~F.col("out")).groupBy("norm_key").agg(F.min(key).alias("first"))
+    keyed = spread(texts).select(key, *carry, norm.alias("norm_key"), F.coalesce(excluded, F.lit(False)).alias("excluded"))
+    flagged = staged(keyed.join(hits, key, "left").withColumn("out", F.col("excluded") | F.coalesce("hit", F.lit(False))), "flagged")
+    firsts = flagged.groupBy("norm_key").agg(F.min(F.when(~F.col("out"), F.col(key))).alias("first"), F.count("*").alias("n"))
     reason = F.when(F.col("excluded"), "key").when(F.col("out"), "ngram").when(F.col(key) > F.col("first"), "duplicate").otherwise("kept")
-    return flagged.join(firsts, "norm_key", "left").select(key, reason.alias("reason"))
+    return join_folded(flagged, firsts, ["norm_key"], flagged.count()).select(key, *carry, reason.alias("reason"))
 
 
 def split_of(group: Column, source: Column | None = None, overrides: dict[str, str] | None = None) -> Column:
@@ -85,12 +107,20 @@ def in_several_buckets(rows: DataFrame, key: str, bucket: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(bucket).alias("low"), F.max(bucket).alias("high")).where("low <> high").select(key)
 
 
-def spread_order(rows: DataFrame, within: str, order: list, target: int) -> DataFrame:
-    """``rows`` with ``place``: evenly spaced positions first, then the gaps between them, within each ``within``."""
-    position = F.row_number().over(Window.partitionBy(within).orderBy(*order)) - 1
-    size = F.count("*").over(Window.partitionBy(within))
-    placed = rows.withColumns({"pos": position, "step": F.greatest(F.lit(1), F.floor(size / target)).cast("int")})
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(F.col("pos") % F.col("step"), "pos")))
+def spread_order(rows: DataFrame, within: str, key: str, target: int) -> DataFrame:
+    """``rows`` with ``pos``, ``step`` and ``place``: evenly spaced positions first, then the gaps between them, within each
+    ``within`` in the order of the unique bigint ``key``.
+
+    Positions come from ranges of the key; the place follows from position, step and size alone, so no group is sorted.
+    With size = q * step + r, the first r residues of a position modulo the step have q + 1 positions, the others q.
+    """
+    placed = running_ids(rows, within, key, "pos")
+    sizes = rows.groupBy(F.col(within).alias("_of")).agg(F.count("*").alias("size"))
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / target)).cast("int")
+    sized = placed.join(F.broadcast(sizes) if sizes.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else sizes, F.col(within).eqNullSafe(F.col("_of"))).withColumn("step", step)
+    residue, q, r = F.col("pos") % F.col("step"), F.floor(F.col("size") / F.col("step")), F.col("size") % F.col("step")
+    place = residue * q + F.least(residue, r) + F.floor(F.col("pos") / F.col("step")) + 1
+    return sized.withColumn("place", place.cast("int")).drop("_of", "size")
 
 
 def majority_share(rows: DataFrame, by: list[str], label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions.answers import decision_label
@@ -69,3 +69,14 @@ def votes(decisions: DataFrame) -> DataFrame:
 def presence(a: Column, b: Column) -> Column:
     """Where an id of a full outer join stands."""
     return F.when(a.isNotNull() & b.isNotNull(), "both").when(a.isNotNull(), "only_a").otherwise("only_b")
+
+
+def lowest(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """The ``k`` rows of each ``by`` that come first in ``order``.
+
+    Each of 64 parts of a group, dealt by a hash of the row's place in the order, keeps its own ``k``; only those meet.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = rows.withColumn("_part", part).withColumn("_rank", rank(by, "_part")).where(F.col("_rank") <= k).drop("_part")
+    return few.withColumn("_rank", rank(by)).where(F.col("_rank") <= k).drop("_rank")

@@ -9,6 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from adjudica.operators.folding import staged
+from adjudica.sources.files import running_ids
+
+#: Units, some numbers each, that are broadcast to the draws.
+BROADCAST_UNITS = 500_000
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -17,14 +24,26 @@ def hashed_uniform(*parts: Column) -> Column:
 
 
 def resampled(units: DataFrame, stratum: str, unit: str, replicates: int, seed: int) -> DataFrame:
-    """``units`` drawn with replacement within each stratum: their columns, once for each draw, and ``rep``."""
-    group = Window.partitionBy(stratum)
-    placed = units.withColumns({"_at": F.row_number().over(group.orderBy(unit)) - 1, "_n": F.count("*").over(group)})
-    sizes = placed.groupBy(stratum).agg(F.first("_n").alias("_m"))
+    """``units`` drawn with replacement within each stratum: their columns, once for each draw, and ``rep``.
+
+    Replicates are dealt over the tasks, and a task draws whole replicates, so a grouped aggregate by stratum and replicate
+    combines before it shuffles.  Up to ``BROADCAST_UNITS`` units, draws find theirs without moving.  Units of a bigint key
+    are numbered by ranges; others, which are clusters, within their stratum.
+    """
+    units = staged(units, "units")
+    if isinstance(units.schema[unit].dataType, T.LongType):
+        placed = running_ids(units, stratum, unit, "_at")
+    else:
+        placed = units.withColumn("_at", F.row_number().over(Window.partitionBy(stratum).orderBy(unit)) - 1)
+    placed = staged(placed.withColumn("_at", F.col("_at").cast("int")), "placed")
+    sizes = placed.groupBy(stratum).agg(F.count("*").alias("_m"))
     span = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
-    draws = sizes.select(stratum, "_m", F.explode(span(F.lit(replicates))).alias("rep")).select("*", F.explode(span(F.col("_m"))).alias("_pos"))
+    replicate = sizes.select(stratum, "_m", F.explode(span(F.lit(replicates))).alias("rep"))
+    replicate = replicate.repartition(2 * units.sparkSession.sparkContext.defaultParallelism, stratum, "rep")
+    draws = replicate.select("*", F.explode(span(F.col("_m"))).alias("_pos"))
     index = F.floor(hashed_uniform(F.lit(seed), F.col(stratum), F.col("rep"), F.col("_pos")) * F.col("_m")).cast("int")
-    return draws.select(stratum, "rep", index.alias("_at")).join(placed.drop("_n"), [stratum, "_at"]).drop("_at")
+    held = F.broadcast(placed) if placed.count() <= BROADCAST_UNITS else placed
+    return draws.select(stratum, "rep", index.alias("_at")).join(held, [stratum, "_at"]).drop("_at")
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], value: str, count: int, alpha: float = 0.05) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.functions.answers import rounded
 from adjudica.plans.decisions import choices
 from adjudica.registry import query
 from adjudica.sources import tables
+from adjudica.sources.files import running_sums
 from adjudica.sources.tables import OPTIONS, VIEWS
 
 #: Cap on the cost of a run's first records.
@@ -94,10 +95,10 @@ def choice_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "case_id").groupBy("phase").agg(F.count("*").alias("n"), F.count_if(differ).alias("changed"), F.count_if(differ & stays).alias("keeps_position"))
 
 
-@query(VIEWS + "SELECT run, case_id, round(p, 6) AS p FROM v_choice WHERE NOT err AND label = 'en' AND p >= CAST(0.5 AS DOUBLE) AND gt <> 'en'")
+@query(VIEWS + "SELECT run, case_id, round(p, 6) AS p FROM v_choice WHERE NOT err AND label = 'en' AND p >= CAST(0.7 AS DOUBLE) AND gt <> 'en'")
 def primacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First option chosen firmly and wrongly."""
-    return choices(spark, sf_dir).where((~F.col("err")) & (F.col("label") == OPTIONS[0]) & (F.col("p") >= 0.5) & (F.col("gt") != OPTIONS[0])).select("run", "case_id", rounded(F.col("p")).alias("p"))
+    return choices(spark, sf_dir).where((~F.col("err")) & (F.col("label") == OPTIONS[0]) & (F.col("p") >= 0.7) & (F.col("gt") != OPTIONS[0])).select("run", "case_id", rounded(F.col("p")).alias("p"))
 
 
 @query(VIEWS + "SELECT run, round(sum(cost), 9) AS recorded, round(max(cost), 9) AS highest, CAST(sum(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown, CAST(sum(CASE WHEN cost > CAST(0.00004 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS over_cap, round(greatest(sum(cost), CAST(0.0085 AS DOUBLE)), 9) AS prior, round(CAST(0.02 AS DOUBLE) - sum(cost) - greatest(CAST(0.001 AS DOUBLE), sum(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) * CAST(0.00005 AS DOUBLE)), 9) AS remaining FROM v_records GROUP BY run")
@@ -113,8 +114,8 @@ def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VIEWS + f", r AS (SELECT run, case_id, sum(coalesce(cost, 0)) OVER (PARTITION BY run ORDER BY case_id) AS total FROM v_records) SELECT run, min(CASE WHEN round(total, 9) >= CAST({CAP} AS DOUBLE) THEN case_id END) AS stop_at, min(CASE WHEN round(total, 9) > CAST({CAP} AS DOUBLE) THEN case_id END) AS stop_above FROM r GROUP BY run")
 def cost_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a running cost reaches the cap, and where it passes it: the two guards differ."""
-    total = F.round(F.sum(F.coalesce("cost", F.lit(0.0))).over(Window.partitionBy("run").orderBy("case_id")), 9)
-    rows = tables.records(spark, sf_dir).select("run", "case_id", total.alias("total"))
+    total = F.round("total", 9)
+    rows = running_sums(tables.records(spark, sf_dir).select("run", "case_id", "cost"), "run", "case_id", "cost", "total").withColumn("total", total)
     return rows.groupBy("run").agg(F.min(F.when(F.col("total") >= CAP, F.col("case_id"))).alias("stop_at"), F.min(F.when(F.col("total") > CAP, F.col("case_id"))).alias("stop_above"))
 
 

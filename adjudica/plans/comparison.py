@@ -147,20 +147,41 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leave_one_out(rows: DataFrame) -> DataFrame:
     """(run, n, loo, n_skip, skip_recall): each case decided by the best threshold of the others.
 
-    Each case meets the counts of the different values of its run, less itself, so the work is cases times values.
+    Without a case, thresholds up to its value lose its decision if it isn't skipped, those above it its decision if it is.
+    So the best of each side, known for every value from maxima of the values before and after it, less the case's own,
+    gives its best threshold; the candidates next to the value are looked at apart, as they may leave with the case.  The
+    work is that of the different values, and cases of equal value, truth and answer are counted together.
     """
-    counts = _folded(rows, ["run"])
-    own = rows.select("run", "case_id", F.col("rel").alias("own_rel"), F.col("truth").alias("own_truth"), F.col("deep").alias("own_deep"))
-    here = F.col("rel") == F.col("own_rel")
-    less = lambda name, counts_own: (F.col(name) - F.when(here & counts_own, 1).otherwise(0)).alias(name)
-    others = own.join(counts, "run").select("run", "case_id", "rel", less("c", F.lit(True)), less("skip_ok", F.col("own_truth") == "skip"), less("deep_ok", F.col("own_truth") == F.col("own_deep"))).where("c > 0")
-    best = cuts(others, ["run", "case_id"]).groupBy("run", "case_id").agg((-F.max(F.struct("ok", (-F.col("t")).alias("t")))["t"]).alias("t"))
-    made = own.join(best, ["run", "case_id"]).withColumn("made", F.when(F.col("own_rel") < F.col("t"), "skip").otherwise(F.col("own_deep")))
-    right, skip = F.col("made") == F.col("own_truth"), F.col("own_truth") == "skip"
-    return made.groupBy("run").agg(F.count("*").alias("n"), F.count_if(right).alias("loo"), F.count_if(skip).alias("n_skip"), F.count_if(right & skip).alias("skip_recall"))
-
-
-@query()
+    order = Window.partitionBy("run").orderBy("rel")
+    before, after, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("run")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    all_deep, skipped = F.sum("deep_ok").over(whole), F.sum("skip_ok").over(upto)
+    v = _folded(rows, ["run"]).select("*", F.lag("rel").over(order).alias("prev"), F.lead("rel").over(order).alias("next"), (skipped - F.col("skip_ok") + all_deep - F.sum("deep_ok").over(upto) + F.col("deep_ok")).alias("low"), (skipped + all_deep - F.sum("deep_ok").over(upto)).alias("high"), all_deep.alias("all_deep"), F.sum("c").over(whole).alias("n"))
+    at = lambda ok, t: F.struct(ok.cast("long").alias("ok"), (-t).alias("t"))
+    own = F.when(F.col("c") > 1, at(F.col("low"), F.col("rel")))
+    mid_before, mid_after = F.when(F.col("prev").isNotNull(), at(F.col("low"), (F.col("prev") + F.col("rel")) / 2)), F.when(F.col("next").isNotNull(), at(F.col("high"), (F.col("rel") + F.col("next")) / 2))
+    top = F.max_by(F.when(F.col("rel") < 2, F.col("high")).otherwise(F.col("low")), "rel").over(whole)
+    zero, two = at(F.col("all_deep"), F.lit(0.0)), at(top, F.lit(2.0))
+    sides = v.select("*", F.greatest(own, mid_before).alias("a"), F.greatest(own, mid_after).alias("b"), own.alias("own"), mid_before.alias("mid_before"), mid_after.alias("mid_after"), zero.alias("zero"), two.alias("two"))
+    sides = sides.select("*", F.greatest(F.max("a").over(before), "zero").alias("left"), F.max("b").over(after).alias("right"))
+    cases = rows.groupBy("run", "rel", (F.col("truth") == "skip").cast("int").alias("s"), (F.col("truth") == F.col("deep")).cast("int").alias("d")).agg(F.count("*").alias("cases"))
+    met = cases.join(sides, ["run", "rel"]).where("n > 1")
+    less = lambda x, by: F.when(x.isNotNull(), F.struct((x["ok"] - F.col(by)).alias("ok"), x["t"].alias("t")))
+    fused = F.when((F.col("c") == 1) & F.col("prev").isNotNull() & F.col("next").isNotNull(), at(F.col("low") - F.col("deep_ok"), (F.col("prev") + F.col("next")) / 2))
+    lower = F.greatest(F.col("left"), F.when(F.col("c") > 1, F.col("mid_before")), F.when(F.col("c") > 2, F.col("own")), F.when(F.col("rel") >= 2, F.col("two")))
+    upper = F.greatest(F.col("right"), F.when(F.col("c") > 1, F.col("mid_after")), F.when(F.col("rel") < 2, F.col("two")))
+    best = met.withColumn("t", -F.greatest(less(lower, "d"), less(upper, "s"), fused)["t"])
+    right = F.when(F.col("rel") < F.col("t"), F.col("s")).otherwise(F.col("d"))
+    return best.groupBy("run").agg(F.sum("cases").alias("n"), F.sum(F.col("cases") * right).alias("loo"), F.sum(F.col("cases") * F.col("s")).alias("n_skip"), F.sum(F.col("cases") * F.col("s") * right).alias("skip_recall"))
+
+
+@query(VIEWS + _DEPTH + """, o AS (SELECT a.run, a.case_id AS out_id, b.rel, b.truth, b.deep FROM d a JOIN d b ON a.run = b.run AND a.case_id <> b.case_id),
+c AS (SELECT run, out_id, (rel + lead(rel) OVER (PARTITION BY run, out_id ORDER BY rel)) / 2 AS t FROM o UNION ALL SELECT DISTINCT run, out_id, 0 FROM o UNION ALL SELECT DISTINCT run, out_id, 2 FROM o),
+f AS (SELECT run, out_id, rel, sum(CASE WHEN truth = 'skip' THEN 1 ELSE 0 END) AS s, sum(CASE WHEN truth = deep THEN 1 ELSE 0 END) AS p FROM o GROUP BY ALL),
+k AS (SELECT c.run, c.out_id, c.t, sum(CASE WHEN f.rel < c.t THEN f.s ELSE f.p END) AS ok FROM (SELECT DISTINCT run, out_id, t FROM c WHERE t IS NOT NULL) c JOIN f USING (run, out_id) GROUP BY ALL),
+b AS (SELECT run, out_id AS case_id, t FROM (SELECT *, row_number() OVER (PARTITION BY run, out_id ORDER BY ok DESC, t) AS rn FROM k) WHERE rn = 1),
+m AS (SELECT d.run, d.truth, CASE WHEN d.rel < b.t THEN 'skip' ELSE d.deep END = d.truth AS hit FROM d JOIN b USING (run, case_id))
+SELECT run, count(*) AS n, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS loo, CAST(sum(CASE WHEN truth = 'skip' THEN 1 ELSE 0 END) AS BIGINT) AS n_skip, CAST(sum(CASE WHEN truth = 'skip' AND hit THEN 1 ELSE 0 END) AS BIGINT) AS skip_recall FROM m GROUP BY run""")
 def loo_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leave_one_out(_depth(spark, sf_dir))
 
@@ -168,8 +189,7 @@ def loo_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VIEWS + "SELECT run, CAST(sum(CASE WHEN gt = 0 THEN 1 ELSE 0 END) AS BIGINT) AS found FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, case_id) AS rn FROM v_binary WHERE qid = 'quality' AND NOT err) WHERE rn <= 10 GROUP BY run")
 def bottom_k_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the ten lowest scores are of label 0."""
-    rank = F.row_number().over(Window.partitionBy("run").orderBy("value", "case_id"))
-    lowest = tables.binary(spark, sf_dir).where("qid = 'quality' AND NOT err").withColumn("rn", rank).where("rn <= 10")
+    lowest = op.lowest(tables.binary(spark, sf_dir).where("qid = 'quality' AND NOT err"), "run", ["value", "case_id"], 10)
     return lowest.groupBy("run").agg(F.count_if(F.col("gt") == 0).alias("found"))
 
 
@@ -192,20 +212,32 @@ def newcombe_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("qid", rounded(delta).alias("delta"), rounded(low).alias("low"), rounded(high).alias("high"))
 
 
-@query()
+#: Limits by halving an interval: the p at which k or more of n has the chance 0.025, k hits or misses.
+LIMITS = """, l(id, k, n, low, high, step) AS (SELECT id, k, n, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM asked WHERE k > 0 UNION ALL
+SELECT id, k, n, CASE WHEN tail < CAST(0.025 AS DOUBLE) THEN (low + high) / 2 ELSE low END, CASE WHEN tail < CAST(0.025 AS DOUBLE) THEN high ELSE (low + high) / 2 END, step + 1 FROM (
+SELECT *, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) AS tail FROM l WHERE step < 45)),
+limits AS (SELECT asked.id, coalesce((l.low + l.high) / 2, 0) AS p FROM asked LEFT JOIN l ON l.id = asked.id AND l.step = 45)
+"""
+
+
+@query(SAID.replace("WITH", "WITH RECURSIVE", 1) + """, k AS (SELECT phase, qid, count(*) AS n, CAST(sum(CASE WHEN said_a = said_b THEN 1 ELSE 0 END) AS BIGINT) AS agree FROM v_pairs GROUP BY ALL),
+asked AS (SELECT phase || qid || 'low' AS id, agree AS k, n FROM k UNION ALL SELECT phase || qid || 'high', n - agree, n FROM k)""" + LIMITS + """SELECT phase, qid, n, agree, round(a.p, 6) AS low, round(1 - b.p, 6) AS high FROM k JOIN limits a ON a.id = phase || qid || 'low' JOIN limits b ON b.id = phase || qid || 'high'""")
 def clopper_pearson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.count_if(F.col("said_a") == F.col("said_b"))
     counts = _pairs(spark, sf_dir).groupBy("phase", "qid").agg(F.count("*").alias("n"), same.alias("agree"))
-    return counts.withColumn("ci", clopper_pearson("agree", "n")).select("phase", "qid", "n", "agree", "ci.low", "ci.high")
+    return counts.withColumn("ci", clopper_pearson("agree", "n")).select("phase", "qid", "n", "agree", rounded(F.col("ci.low")).alias("low"), rounded(F.col("ci.high")).alias("high"))
 
 
-@query()
+@query(VIEWS.replace("WITH", "WITH RECURSIVE", 1) + """, a AS (SELECT run, phase, value, gt, row_number() OVER (PARTITION BY run, phase ORDER BY case_id) AS i FROM v_binary WHERE qid = 'toxic' AND NOT err),
+m(run, phase, i, mass) AS (SELECT DISTINCT run, phase, CAST(0 AS BIGINT), [CAST(1 AS DOUBLE)] FROM a UNION ALL
+SELECT m.run, m.phase, a.i, list_transform(range(1, len(mass) + 2), lambda j: coalesce(mass[j], 0) * (1 - value) + CASE WHEN j > 1 THEN mass[j - 1] * value ELSE 0 END) FROM m JOIN a ON a.run = m.run AND a.phase = m.phase AND a.i = m.i + 1),
+k AS (SELECT run, phase, CAST(sum(gt) AS BIGINT) AS k, max(i) AS i FROM a GROUP BY ALL) SELECT run, phase, k, round(least(1, list_sum(mass[k + 1:])), 6) AS p FROM m JOIN k USING (run, phase, i)""")
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance of as many toxic labels or more as there are, if each answer's probability were right."""
     answers = tables.binary(spark, sf_dir).where("qid = 'toxic' AND NOT err")
     folded = answers.groupBy("run", "phase", "value").agg(F.count("*").alias("n"), F.sum("gt").alias("k"))
     by_phase = folded.groupBy("run", "phase").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("x"), F.sum("k").alias("k"))
-    return by_phase.select("run", "phase", "k", poisson_binomial_sf("x.value", "x.n", "k").alias("p"))
+    return by_phase.select("run", "phase", "k", rounded(F.least(F.lit(1.0), poisson_binomial_sf("x.value", "x.n", "k"))).alias("p"))
 
 
 @query(VIEWS + """, o AS (SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY run) AS n FROM v_records WHERE NOT err)

@@ -52,13 +52,13 @@ def filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REASONS.replace("t.doc_id % 97 = 13", "FALSE") + """SELECT source, count(*) AS n_in, CAST(sum(CASE WHEN reason = 'kept' THEN 1 ELSE 0 END) AS BIGINT) AS n_out,
   CAST(sum(CASE WHEN reason = 'ngram' THEN 1 ELSE 0 END) AS BIGINT) AS n_ngram, CAST(sum(CASE WHEN reason = 'duplicate' THEN 1 ELSE 0 END) AS BIGINT) AS n_duplicate FROM reasons GROUP BY source""")
 def contam_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    reasons = op.filter_reasons(docs, "doc_id", "text", _index(spark, sf_dir), F.lit(False))
+    reasons = op.filter_reasons(read(spark, sf_dir, "documents"), "doc_id", "text", _index(spark, sf_dir), F.lit(False), carry=("source",))
     count = lambda r: F.count_if(F.col("reason") == r)
-    return docs.select("doc_id", "source").join(reasons, "doc_id").groupBy("source").agg(F.count("*").alias("n_in"), count("kept").alias("n_out"), count("ngram").alias("n_ngram"), count("duplicate").alias("n_duplicate"))
+    return reasons.groupBy("source").agg(F.count("*").alias("n_in"), count("kept").alias("n_out"), count("ngram").alias("n_ngram"), count("duplicate").alias("n_duplicate"))
 
 
-@query(_GRAMS + "SELECT count(*) AS grams, CAST(sum(CAST(('0x' || substr(md5(gram), 1, 13)) AS BIGINT)) AS VARCHAR) AS digest FROM bank")
+@query(_GRAMS + """, parts AS (SELECT substr(sha256(gram), 1, 2) AS part, count(*) AS n, sha256(string_agg(gram || chr(9) || CAST(first_key AS VARCHAR), chr(10) ORDER BY gram || chr(9) || CAST(first_key AS VARCHAR))) AS d FROM bank GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS grams, sha256(string_agg(part || d, chr(10) ORDER BY part)) AS digest FROM parts""")
 def bank_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.index_digest(_index(spark, sf_dir))
 
@@ -113,7 +113,7 @@ def double_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, greatest(1, count(*) OVER (PARTITION BY source) // 10) AS step FROM documents),
 o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY pos % step, pos) AS place FROM p) SELECT source, doc_id, CAST(place AS INT) AS place FROM o WHERE place <= 10""")
 def spread_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = op.spread_order(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 10)
+    placed = op.spread_order(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
     return placed.where("place <= 10").select("source", "doc_id", "place")
 
 

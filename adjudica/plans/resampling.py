@@ -15,7 +15,8 @@ from adjudica.registry import query
 from adjudica.sources import tables
 from adjudica.sources.tables import VIEWS
 
-REPLICATES = 200
+#: Replicates of case draws and of cluster draws.
+REPLICATES, CLUSTER_REPLICATES = 2000, 10_000
 _U = "CAST(floor(('0x' || substr(md5({seed} || ':' || {s} || ':' || rep || ':' || pos), 1, 13))::BIGINT / 4503599627370496.0 * m) AS BIGINT)"
 
 
@@ -104,30 +105,30 @@ def cluster_deltas(units: DataFrame, seed: int) -> DataFrame:
     """
     both = units.where("p0 IS NOT NULL AND p1 IS NOT NULL").groupBy("cluster_id", "phase").agg(F.sum(F.col("p1") - F.col("p0")).alias("d"), F.count("*").alias("n"))
     n_phases = units.select("phase").distinct().count()
-    drawn = resampled(units.select("cluster_id", F.lit("all").alias("stratum")).distinct(), "stratum", "cluster_id", REPLICATES, seed)
+    drawn = resampled(units.select("cluster_id", F.lit("all").alias("stratum")).distinct(), "stratum", "cluster_id", CLUSTER_REPLICATES, seed)
     by_phase = drawn.join(both, "cluster_id").groupBy("rep", "phase").agg((F.sum("d") / F.sum("n") * 100).alias("d"))
     return by_phase.groupBy("rep").agg(F.when(F.count("*") == n_phases, F.avg("d")).alias("v"))
 
 
 def _cluster_sql(seed: int, where: str = "") -> str:
-    return VIEWS + _UNITS.format(where=where) + ", folded AS (SELECT cluster_id, phase, sum(p1 - p0) AS d, count(*) AS n FROM units WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL), cl AS (SELECT DISTINCT cluster_id, 'all' AS stratum FROM units)" + _draws("cl", "stratum", "cluster_id", seed) + ", by_phase AS (SELECT rep, phase, sum(d) / sum(n) * 100 AS d FROM r_drawn JOIN folded USING (cluster_id) GROUP BY ALL), deltas AS (SELECT rep, CASE WHEN count(*) = (SELECT count(DISTINCT phase) FROM units) THEN avg(d) END AS v FROM by_phase GROUP BY rep) "
+    return VIEWS + _UNITS.format(where=where) + ", folded AS (SELECT cluster_id, phase, sum(p1 - p0) AS d, count(*) AS n FROM units WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL), cl AS (SELECT DISTINCT cluster_id, 'all' AS stratum FROM units)" + _draws("cl", "stratum", "cluster_id", seed, CLUSTER_REPLICATES) + ", by_phase AS (SELECT rep, phase, sum(d) / sum(n) * 100 AS d FROM r_drawn JOIN folded USING (cluster_id) GROUP BY ALL), deltas AS (SELECT rep, CASE WHEN count(*) = (SELECT count(DISTINCT phase) FROM units) THEN avg(d) END AS v FROM by_phase GROUP BY rep) "
 
 
-@query(_cluster_sql(271828) + _interval("v", "", "deltas"))
+@query(_cluster_sql(271828) + _interval("v", "", "deltas", CLUSTER_REPLICATES))
 def cluster_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(percentile_interval(cluster_deltas(case_units(spark, sf_dir), 271828), [], "v", REPLICATES))
+    return _shown(percentile_interval(cluster_deltas(case_units(spark, sf_dir), 271828), [], "v", CLUSTER_REPLICATES))
 
 
-@query(_cluster_sql(5, "WHERE qid = 'quality'") + _interval("v", "", "deltas"))
+@query(_cluster_sql(5, "WHERE qid = 'quality'") + _interval("v", "", "deltas", CLUSTER_REPLICATES))
 def question_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for one question."""
-    return _shown(percentile_interval(cluster_deltas(case_units(spark, sf_dir, "quality"), 5), [], "v", REPLICATES))
+    return _shown(percentile_interval(cluster_deltas(case_units(spark, sf_dir, "quality"), 5), [], "v", CLUSTER_REPLICATES))
 
 
-@query(VIEWS + ", cl AS (SELECT run, cluster_id, sum(CASE WHEN gt = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN gt = 1 AND value >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS tp FROM v_binary WHERE qid = 'quality' AND NOT err GROUP BY ALL)" + _draws("cl", "run", "cluster_id", 9) + ", reps AS (SELECT run, rep, CAST(sum(tp) AS DOUBLE) / nullif(sum(pos), 0) AS v FROM r_drawn GROUP BY ALL) " + _interval("v", "run", "reps"))
+@query(VIEWS + ", cl AS (SELECT run, cluster_id, sum(CASE WHEN gt = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN gt = 1 AND value >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS tp FROM v_binary WHERE qid = 'quality' AND NOT err GROUP BY ALL)" + _draws("cl", "run", "cluster_id", 9, CLUSTER_REPLICATES) + ", reps AS (SELECT run, rep, CAST(sum(tp) AS DOUBLE) / nullif(sum(pos), 0) AS v FROM r_drawn GROUP BY ALL) " + _interval("v", "run", "reps", CLUSTER_REPLICATES))
 def cluster_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the sensitivity when clusters are drawn."""
     truth, alert = F.col("gt") == 1, F.col("value") >= 0.5
     units = tables.binary(spark, sf_dir).where("qid = 'quality' AND NOT err").groupBy("run", "cluster_id").agg(F.count_if(truth).alias("pos"), F.count_if(truth & alert).alias("tp"))
-    reps = resampled(units, "run", "cluster_id", REPLICATES, 9).groupBy("run", "rep").agg(F.try_divide(F.sum("tp").cast("double"), F.sum("pos").cast("double")).alias("v"))
-    return _shown(percentile_interval(reps, ["run"], "v", REPLICATES))
+    reps = resampled(units, "run", "cluster_id", CLUSTER_REPLICATES, 9).groupBy("run", "rep").agg(F.try_divide(F.sum("tp").cast("double"), F.sum("pos").cast("double")).alias("v"))
+    return _shown(percentile_interval(reps, ["run"], "v", CLUSTER_REPLICATES))

@@ -41,6 +41,19 @@ def running_ids(rows: DataFrame, by: str, order: str, name: str, width: int = 10
     return numbered.withColumn(name, F.col("_rank") + F.col("_shift")).drop("_range", "_rank", "_shift", "_by", "_of")
 
 
+def running_sums(rows: DataFrame, by: str, order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` (null: 0) over the rows of ``by`` up to this one in the order of the unique
+    bigint ``order``, summed within ranges of ``width`` and shifted by the ranges before, as in :func:`running_ids`."""
+    known = F.coalesce(F.col(value), F.lit(0.0))
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    sums = ranged.groupBy(by, "_range").agg(F.sum(known).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    shifts = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), before.alias("_shift"))
+    within = F.sum(known).over(Window.partitionBy(by, "_range").orderBy(order))
+    summed = ranged.withColumn("_sum", within).join(shifts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return summed.withColumn(name, F.col("_sum") + F.col("_shift")).drop("_range", "_sum", "_shift", "_by", "_of")
+
+
 def article(xml: Column) -> Column:
     """struct(pmid, title, abstract, authors, pubtypes, langs, year) of one article's XML.
 
