@@ -208,3 +208,71 @@ def test_files(spark, tmp_path):
         files.replace_section(page, "u", "")
     with pytest.raises(ValueError, match="at most"):
         files.markdown_table(rows, limit=1)
+
+
+def test_newcombe_without_pairs(spark):
+    from adjudica.functions.intervals import newcombe
+
+    rows = spark.createDataFrame([(0, 0, 0, 0), (40, 5, 15, 40)], "a long, b long, c long, d long")
+    found = rows.select(*[x.alias(n) for n, x in zip(("delta", "low", "high"), newcombe(*(F.col(x) for x in "abcd")), strict=True)]).collect()
+    assert found[0]["delta"] == 0 and math.isnan(found[0]["low"]) and math.isnan(found[0]["high"])
+    assert found[1]["delta"] == pytest.approx(-0.10) and found[1]["low"] < -0.1
+
+
+def test_exact_tails_against_sums():
+    import numpy as np
+
+    from adjudica.functions.intervals import at_least, lower_limit
+
+    for n in (1, 7, 60):
+        for p in (0.01, 0.3, 0.5, 0.97):
+            k = np.arange(0, n + 2)
+            wanted = [sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x, n + 1)) for x in k]
+            assert at_least(k, np.full(len(k), n), np.full(len(k), p)) == pytest.approx(wanted, abs=1e-12)
+    k = np.array([0, 1, 48, 99, 100, 50_000])
+    n = np.array([10, 10, 100, 100, 100, 100_000])
+    low = lower_limit(k, n, 0.025)
+    assert low[0] == 0 and at_least(k[1:], n[1:], low[1:]) == pytest.approx(0.025, rel=1e-6)
+
+
+def test_first_wins_keeps_null_texts(spark):
+    from adjudica.operators.curation import first_wins
+
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a"), (5, "b")], "id long, text string")
+    found = {r["id"]: (r["first"], r["kept"]) for r in first_wins(rows, "id", F.col("text")).collect()}
+    assert found == {1: (1, True), 2: (2, True), 3: (1, False), 4: (2, False), 5: (5, True)}
+
+
+def test_index_digest_sees_grams_and_keys(spark):
+    from adjudica.operators.curation import index_digest
+
+    digest = lambda rows: index_digest(spark.createDataFrame(rows, "gram string, first_key long")).first()["digest"]
+    base = digest([("a b", 1), ("c d", 2)])
+    assert base == digest([("c d", 2), ("a b", 1)]) and len({base, digest([("a b", 1), ("c d", 3)]), digest([("a b", 1), ("c e", 2)])}) == 3
+
+
+def test_redaction_inside_texts(spark):
+    from adjudica.functions.redaction import redacted
+
+    rows = spark.createDataFrame([('{"a":[{"Secret":1}],"t":"{\\"my_key\\":2}"}',), ("no json",), (None,), ('{"a":1}',)], "j string")
+    assert [r[0] for r in rows.select(redacted("j")).collect()] == ['{"a":[{"Secret":"<redacted>"}],"t":"{\\"my_key\\":\\"<redacted>\\"}"}', "no json", None, '{"a":1}']
+
+
+def test_a_missing_source_stops(spark):
+    from adjudica.plans.studies import require_sources
+
+    rows = spark.createDataFrame([("a",), ("b",)], "source string")
+    assert require_sources(rows, ["a"]).count() == 2
+    with pytest.raises(ValueError, match="no rows of c"):
+        require_sources(rows, ["a", "c"])
+
+
+@pytest.mark.parametrize("size", [1, 9, 10, 25, 31])
+def test_spread_places(spark, size):
+    """Places without a sort of the group: those of positions ordered by (position modulo step, position)."""
+    from adjudica.operators.curation import spread_order
+
+    rows = spark.range(size).select((F.col("id") * 3 + 5).alias("id"), F.lit("s").alias("source"))
+    found = {r["pos"]: r["place"] for r in spread_order(rows, "source", "id", 10).collect()}
+    step = max(1, size // 10)
+    assert found == {p: k + 1 for k, p in enumerate(sorted(range(size), key=lambda p: (p % step, p)))}
