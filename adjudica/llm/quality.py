@@ -31,10 +31,11 @@ _KINDS = np.zeros((256, 7), np.int64)  # lower, upper, digit, white space, sente
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\v\f", b".,;:?'\"()-", b"!#$%&*+/<=>@[\\]^_`{|}~")):
     _KINDS[list(_chars), _k] = 1
 _KINDS[128:, 6] = 1
+_WHITE, _SIGN = _KINDS[:, 3] > 0, _KINDS[:, 4] + _KINDS[:, 5] > 0
 
 STATISTICS = (
     "bytes", "words", "lines", "lower", "upper", "digit", "space", "mark", "symbol", "wide", "entropy",
-    "word_mean", "word_most", "distinct", "doubled", "commonest", "lines_distinct", "line_words", "marked_ends", "pipes", "shouts",
+    "word_mean", "word_most", "distinct", "doubled", "commonest", "lines_distinct", "line_words", "marked_ends", "alone", "repeated",
 )
 
 
@@ -51,12 +52,13 @@ def statistics(text: str) -> list[float]:
     seen: dict[str, int] = {}
     for word in words:
         seen[word] = seen.get(word, 0) + 1
-    n = len(words)
+    n, sign = len(words), _SIGN[data]
+    edge = np.concatenate(([True], _WHITE[data], [True]))  # signs that stand alone, and signs that repeat the one before
     return [
         math.log1p(len(data)), math.log1p(n), math.log1p(len(lines)), *(counts @ _KINDS / len(data)).tolist(), float(-(share * np.log2(share)).sum()),
         float(lengths.mean()), math.log1p(int(lengths.max())), len(seen) / math.sqrt(n), sum(map(eq, words, words[1:])) / n, max(seen.values()) / n,
         len(set(lines)) / len(lines), math.log1p(n / len(lines)), sum(line[-1:] in (".", "!", "?") for line in lines) / len(lines),
-        text.count("|") / n, text.count("!!") / n,
+        float((sign & edge[:-2] & edge[2:]).sum()) / n, float((sign[1:] & (data[1:] == data[:-1])).mean()) if len(data) > 1 else 0.0,
     ]
 
 
