@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.llm.shared import join_folded, materialise
+from adjudica.llm.shared import materialise
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    """Links every larger neighbour to the least; the node of a giant component is a hot key, whose edges stay in place."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour to the least.  The node of a giant component is a hot key of the join, which adaptive
+    execution splits: rows of the join have two numbers each, and its other side one row a node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return join_folded(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def component_roots(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("u <> v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = materialise(_small_star(_large_star(edges, state[0])), "edges")
+        edges = materialise(_small_star(_large_star(edges)), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

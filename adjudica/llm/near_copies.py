@@ -8,10 +8,10 @@ against the rule on their whole shingle sets, so only true links are made.
 
 A key that many texts share would yield a square of pairs, so links are made in rounds.  First each text of a key is held
 against the key's least.  Keys whose texts that leaves in several components go on: of a key with at most ``CROWD`` texts,
-all pairs between components are held against the rule; of a larger one, each text outside the component of the key's *hub*
-is held against the hub, the text with most links so far that hasn't been one.  Rounds end when one makes no new link, or
-after ``HUBS`` of them.  Copies of one original all link to it, so it becomes a hub; what may be missed is a link between
-two families in a crowded key that no hub is part of, in each of the ten keys or more that such a pair shares.
+all pairs between components are held against the rule; of a larger one, each text outside the component of a *hub* is held
+against the hub, hubs being the texts with most links so far, ``HUBS`` of them in each of ``ROUNDS_OF_HUBS`` rounds.  Copies of one
+original all link to it, so it becomes a hub; what may be missed is a link between two families in a crowded key that no hub
+is part of, in each of the ten keys or more that such a pair shares.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ from adjudica.llm.components import component_roots
 from adjudica.llm.shared import materialise, small
 
 SEED, BANDS, ROWS = 42, 24, 4
-#: A key of at most so many texts has all its pairs held against the rule; larger ones have at most so many hubs.
-CROWD, HUBS = 16, 6
+#: A key of at most so many texts has all its pairs held against the rule; larger ones have so many hubs in each round.
+CROWD, HUBS, ROUNDS_OF_HUBS = 16, 4, 2
 #: Differing bits of 64 that two sets of similarity 0.8 pass with a chance below 1e-6, small sets too.
 MOST = 28
 #: Shingles whose minima are taken at a time, which bounds the memory that a very long text takes.
@@ -110,8 +110,8 @@ def true_links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def similar_links(texts: DataFrame, sketched: DataFrame, possible: Callable[[Column], Column], shingle: int, similarity: float, *, crowd: int = CROWD, hubs: int = HUBS) -> DataFrame:
-    """Edges (u, v): true links, as many as the rounds need to find the components of the candidates.
+def similar_roots(texts: DataFrame, sketched: DataFrame, possible: Callable[[Column], Column], shingle: int, similarity: float, *, crowd: int = CROWD) -> DataFrame:
+    """(u, root) of the components that true links between candidates make, as :func:`component_roots` gives them.
 
     ``sketched`` has (node, keys, fingerprint), ``texts`` (node, text); ``possible`` tells of the XOR of two fingerprints
     whether the pair passes the ring's budgets and the Hamming check.
@@ -122,26 +122,33 @@ def similar_links(texts: DataFrame, sketched: DataFrame, possible: Callable[[Col
     passes = possible(F.col("fingerprint").bitwiseXOR(F.col("hub.fingerprint")))
     stars = opened.where("node <> hub.node").where(passes).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
     links = materialise(true_links(materialise(stars, "near-stars"), texts, shingle, similarity), "near-links")
+    roots = component_roots(links)
     opened = opened.select("key", "node", "fingerprint", (F.col("node") == F.col("hub.node")).alias("was_hub"))
-    for number in range(hubs):
-        roots = component_roots(links).select(F.col("u").alias("node"), "root")
-        rooted = opened.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = materialise(rooted, "near-rooted")
+    for number in range(ROUNDS_OF_HUBS):
+        known = roots.select(F.col("u").alias("node"), "root")
+        rooted = materialise(opened.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
         apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
         rooted = materialise(rooted.join(apart, "key"), "near-apart")
-        left, right = (rooted.where(F.col("n") <= crowd).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "fingerprint")]) for side in "uv")
-        pairs = left.join(right, "key").where("node_u < node_v AND root_u <> root_v").where(possible(F.col("fingerprint_u").bitwiseXOR(F.col("fingerprint_v"))))
-        pairs = pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
         degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        crowded = rooted.where(F.col("n") > crowd).join(degrees, "node", "left")
-        best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "root", "fingerprint")).alias("hub")
-        chosen = crowded.where(~F.col("was_hub")).groupBy("key").agg(best)
-        crowded = materialise(crowded.join(chosen, "key"), "near-crowded")
-        tested = crowded.where("root <> hub.root").where(passes).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
-        pairs = materialise(pairs.unionByName(tested).distinct(), "near-pairs")
-        found = materialise(true_links(pairs, texts, shingle, similarity), "near-links")
+        crowded = rooted.where(F.col("n") > crowd)
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("degree"), "node"))
+        chosen = crowded.where(~F.col("was_hub")).join(degrees, "node", "left").withColumn("place", place).where(F.col("place") <= HUBS)
+        chosen = materialise(chosen.select("key", F.struct("node", "root", "fingerprint").alias("hub")), "near-hubs")
+        met = crowded.join(chosen, "key")
+        pairs = met.where("root <> hub.root").where(passes).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
+        if not number:  # all pairs of the other keys, once
+            u, v = (rooted.where(F.col("n") <= crowd).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "fingerprint")]) for side in "uv")
+            few = u.join(v, "key").where("node_u < node_v AND root_u <> root_v").where(possible(F.col("fingerprint_u").bitwiseXOR(F.col("fingerprint_v"))))
+            pairs = pairs.unionByName(few.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+        found = materialise(true_links(materialise(pairs.distinct(), "near-pairs"), texts, shingle, similarity), "near-links")
         if not found.limit(1).count():
             break
-        links = materialise(links.unionByName(found), "near-links")
-        opened = crowded.select("key", "node", "fingerprint", (F.col("was_hub") | (F.col("node") == F.col("hub.node"))).alias("was_hub"))
-    return links
+        of = lambda side: known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        between = found.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        merged = component_roots(between.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+        above = merged.select(F.col("u").alias("root"), F.col("root").alias("above"))
+        roots = materialise(roots.join(above, "root", "left").select("u", F.coalesce("above", "root").alias("root")).unionByName(merged), "near-roots")
+        links = links.unionByName(found)
+        hubs = chosen.select("key", F.col("hub.node").alias("node"), F.lit(True).alias("is_hub"))
+        opened = crowded.join(hubs, ["key", "node"], "left").select("key", "node", "fingerprint", (F.col("was_hub") | F.coalesce("is_hub", F.lit(False))).alias("was_hub"))
+    return roots

@@ -125,7 +125,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = materialise(rows.select("doc_id", "raw_hash", _fingerprints(F.col("text"), shingle).alias("fingerprint")), "simhash-rows")
         node = "fingerprint"
         classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n")), "simhash-classes")
-        links = fingerprint_links(classes.select(node), crowd)
+        roots = component_roots(fingerprint_links(classes.select(node), crowd))
     else:
         if not 0.8 <= similarity <= 1:
             raise ValueError("similarity must be from 0.8 to 1")
@@ -134,9 +134,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         node = "raw_hash"
         classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("fingerprint").alias("fingerprint")), "simhash-classes")
         possible = lambda differ: _within_budgets(differ, near_copies.MOST) & (F.bit_count(differ) <= near_copies.MOST)
-        links = near_copies.similar_links(texts, classes.select(F.col(node).alias("node"), "keys", "fingerprint"), possible, shingle, similarity)
+        roots = near_copies.similar_roots(texts, classes.select(F.col(node).alias("node"), "keys", "fingerprint"), possible, shingle, similarity)
         rows = rows.drop("keys")
-    rooted = classes.select(node, "first", "n").join(component_roots(links).withColumnRenamed("u", node), node, "left").withColumn("root", F.coalesce("root", node))
+    rooted = classes.select(node, "first", "n").join(roots.withColumnRenamed("u", node), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of_class = materialise(rooted.select(node, "root", "n").join(least, "root").select(node, "least", "n"), "simhash-roots")
     n_rows = of_class.agg(F.sum("n")).first()[0] or 0
