@@ -9,7 +9,7 @@ from adjudica.functions.answers import rounded
 from adjudica.functions.intervals import clopper_pearson, newcombe
 from adjudica.operators import pairing
 from adjudica.operators.ranking import holm
-from adjudica.plans.comparison import SAID
+from adjudica.plans.comparison import LIMITS, SAID
 from adjudica.plans.decisions import choices, decisions
 from adjudica.registry import query
 from adjudica.sources import tables
@@ -75,7 +75,13 @@ def primacy_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(texts, "case_id").groupBy("subset").agg(F.count("*").alias("n"), rounded(100.0 * F.avg(F.col("w1") - F.col("w0"))).alias("delta_pp"))
 
 
-@query()
+@query(VIEWS.replace("WITH", "WITH RECURSIVE", 1) + """, k0 AS (SELECT a.phase, count(*) AS n, CAST(sum(CASE WHEN a.label <> b.label THEN 1 ELSE 0 END) AS BIGINT) AS changed, CAST(sum(CASE WHEN a.label = a.gt AND b.label = b.gt THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN a.label = a.gt AND b.label <> b.gt THEN 1 ELSE 0 END) AS DOUBLE) AS b,
+ CAST(sum(CASE WHEN a.label <> a.gt AND b.label = b.gt THEN 1 ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN a.label <> a.gt AND b.label <> b.gt THEN 1 ELSE 0 END) AS DOUBLE) AS d FROM (SELECT * FROM v_choice WHERE run = 0 AND NOT err) a JOIN (SELECT * FROM v_choice WHERE run = 1 AND NOT err) b ON a.case_id = b.case_id GROUP BY a.phase),
+asked AS (SELECT phase || 'low' AS id, changed AS k, n FROM k0 UNION ALL SELECT phase || 'high', n - changed, n FROM k0)""" + LIMITS + """, w AS (SELECT *, (a+b)/n AS p1, (a+c)/n AS p2, 3.841458881296 AS z2, 1.959964 AS z FROM k0),
+i AS (SELECT *, (p1 + z2/(2*n) - z*sqrt(p1*(1-p1)/n + z2/(4.0*n*n)))/(1+z2/n) AS l1, (p1 + z2/(2*n) + z*sqrt(p1*(1-p1)/n + z2/(4.0*n*n)))/(1+z2/n) AS u1, (p2 + z2/(2*n) - z*sqrt(p2*(1-p2)/n + z2/(4.0*n*n)))/(1+z2/n) AS l2, (p2 + z2/(2*n) + z*sqrt(p2*(1-p2)/n + z2/(4.0*n*n)))/(1+z2/n) AS u2,
+ CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) > 0 THEN greatest(0, (a*d - b*c - n/2)/sqrt((a+b)*(c+d)*(a+c)*(b+d))) ELSE 0 END AS psi FROM w)
+SELECT phase, i.n, changed, round(lo.p, 6) AS low, round(1 - hi.p, 6) AS high, round(p1 - p2, 6) AS delta, round(p1 - p2 - sqrt(greatest(0, (p1-l1)*(p1-l1) + (u2-p2)*(u2-p2) - 2*psi*(p1-l1)*(u2-p2))), 6) AS delta_low, round(p1 - p2 + sqrt(greatest(0, (u1-p1)*(u1-p1) + (p2-l2)*(p2-l2) - 2*psi*(u1-p1)*(p2-l2))), 6) AS delta_high
+FROM i JOIN limits lo ON lo.id = phase || 'low' JOIN limits hi ON hi.id = phase || 'high'""")
 def rotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choices that changed between two orders of the options: share with exact interval, and the difference of hits."""
     made = choices(spark, sf_dir).where("NOT err").select("run", "phase", "case_id", "label", (F.col("label") == F.col("gt")).alias("hit"))
@@ -83,7 +89,7 @@ def rotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, k = F.col("hit"), F.col("hit_b")
     counts = a.join(b, "case_id").groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("label_b")).alias("changed"), F.count_if(h & k).alias("a"), F.count_if(h & ~k).alias("b"), F.count_if(~h & k).alias("c"), F.count_if(~h & ~k).alias("d"))
     delta, low, high = newcombe(*(F.col(x) for x in "abcd"))
-    return counts.withColumn("ci", clopper_pearson("changed", "n")).select("phase", "n", "changed", "ci.low", "ci.high", delta.alias("delta"), low.alias("delta_low"), high.alias("delta_high"))
+    return counts.withColumn("ci", clopper_pearson("changed", "n")).select("phase", "n", "changed", rounded(F.col("ci.low")).alias("low"), rounded(F.col("ci.high")).alias("high"), rounded(delta).alias("delta"), rounded(low).alias("delta_low"), rounded(high).alias("delta_high"))
 
 
 @query("WITH a AS (SELECT conv_id, sum(length(text)) AS completion, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS prompt, count(*) AS attempts FROM conversations GROUP BY conv_id) SELECT count(*) AS cases, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(completion - prompt) AS BIGINT) AS completion, CAST(max(attempts) AS BIGINT) AS most_attempts FROM a")

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adjudica.operators.folding import staged
 from adjudica.registry import query
 from adjudica.sources import tables
 from adjudica.sources.tables import VIEWS, read
 
-#: Rounds of pointer doubling: chains of up to 2 ** ROUNDS amendments are followed to their end.
-ROUNDS = 5
-
-
 
 @query(VIEWS + "SELECT case_id, err AND case_id % 2 = 0 AS retry FROM v_records WHERE run = 0 AND err")
 def retry_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +27,25 @@ def monotone_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spent.groupBy("run").agg(F.round(F.sum(F.greatest("spent", before)), 9).alias("ledger"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS old, doc_id + 10 AS new FROM documents WHERE doc_id % 10 = 3 AND doc_id < 180 AND doc_id % 50 <> 43), c(start, last, hops) AS (
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS old, doc_id + 10 AS new FROM documents WHERE doc_id % 10 = 3 AND doc_id % 50 <> 43), c(start, last, hops) AS (
 SELECT old, new, CAST(1 AS BIGINT) FROM e UNION ALL SELECT c.start, e.new, c.hops + 1 FROM c JOIN e ON c.last = e.old) SELECT start, max(last) AS last, max(hops) AS hops FROM c GROUP BY start""")
 def amendment_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The end of each chain of amendments old -> new, by pointer doubling: a join a round, logarithmic in the length."""
-    edges = read(spark, sf_dir, "documents").where("doc_id % 10 = 3 AND doc_id < 180 AND doc_id % 50 <> 43").select(F.col("doc_id").alias("start"), (F.col("doc_id") + 10).alias("last"))
-    found = edges.withColumn("hops", F.lit(1).cast("long"))
-    for _ in range(ROUNDS):
+    """The end of each chain of amendments old -> new."""
+    edges = read(spark, sf_dir, "documents").where("doc_id % 10 = 3 AND doc_id % 50 <> 43")
+    return chain_ends(edges.select(F.col("doc_id").alias("start"), (F.col("doc_id") + 10).alias("last")))
+
+
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """(start, last, hops) of chains of distinct ``start`` -> ``last`` without a cycle, by pointer doubling until no pointer moves.
+
+    A round is a join, written to the shared folder; rounds are logarithmic in the longest chain, whatever its length.
+    """
+    found, moved = staged(edges.withColumn("hops", F.lit(1).cast("long")), "chain"), 1
+    while moved:
         onward = found.select(F.col("start").alias("last"), F.col("last").alias("then"), F.col("hops").alias("more"))
-        found = found.join(onward, "last", "left").select("start", F.coalesce("then", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        joined = found.join(onward, "last", "left").select("start", F.coalesce("then", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("then").isNotNull().alias("moved"))
+        joined = staged(joined, "chain")
+        moved, found = joined.where("moved").limit(1).count(), joined.drop("moved")
     return found
 
 

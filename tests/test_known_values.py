@@ -276,3 +276,11 @@ def test_spread_places(spark, size):
     found = {r["pos"]: r["place"] for r in spread_order(rows, "source", "id", 10).collect()}
     step = max(1, size // 10)
     assert found == {p: k + 1 for k, p in enumerate(sorted(range(size), key=lambda p: (p % step, p)))}
+
+
+def test_chains_of_any_length(spark):
+    from adjudica.plans.state import chain_ends
+
+    edges = [(k, k + 1) for k in range(100)] + [(500, 501)]
+    found = {r["start"]: (r["last"], r["hops"]) for r in chain_ends(spark.createDataFrame(edges, "start long, last long")).collect()}
+    assert found == {**{k: (100, 100 - k) for k in range(100)}, 500: (501, 1)}
