@@ -284,3 +284,12 @@ def test_chains_of_any_length(spark):
     edges = [(k, k + 1) for k in range(100)] + [(500, 501)]
     found = {r["start"]: (r["last"], r["hops"]) for r in chain_ends(spark.createDataFrame(edges, "start long, last long")).collect()}
     assert found == {**{k: (100, 100 - k) for k in range(100)}, 500: (501, 1)}
+
+
+def test_resume_goes_on_where_the_sink_ends(spark, tmp_path):
+    from adjudica.plans.checks import resume
+
+    sink, work = f"file://{tmp_path}/sink", lambda rows: rows.withColumn("made", F.col("id") * 2)
+    done = [resume(spark.range(10), sink, "id", work, most=4) for _ in range(4)]
+    assert done == [4, 4, 2, 0]
+    assert sorted((r["id"], r["made"]) for r in spark.read.parquet(sink).collect()) == [(k, 2 * k) for k in range(10)]
