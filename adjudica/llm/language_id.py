@@ -33,8 +33,9 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows scored at a time, of however many texts: bounds a worker's memory.
 BLOCK = 512
 UNDETERMINED = "und"
-#: Windows of no language for each training window, and the least probability of that class that rejects a text.
-NOISE_SHARE, REJECT = 0.3, 0.9
+#: Windows of no language for each training window, the least probability of that class that rejects a text, and the bytes
+#: below which a text is too short to be told from noise.
+NOISE_SHARE, REJECT, SHORTEST = 0.3, 0.9, 80
 #: First and last code points of the ranges that noise is drawn from: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
 SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x30F6), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
@@ -245,9 +246,11 @@ def identify(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text
 
 
 def keep_known_languages(docs: DataFrame, network: ByteNetwork | None, reject: float = REJECT, languages: Sequence[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts that have no letter, that the network says are of no language with a probability of
-    ``reject`` or more, or, where ``languages`` names the wanted ones, whose predicted language isn't one of them."""
-    said = identify(docs, network, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("noise") < reject))
+    """``docs`` without the texts that have no letter, those of at least ``SHORTEST`` bytes that the network says are of no
+    language with a probability of ``reject`` or more, and, where ``languages`` names the wanted ones, those whose predicted
+    language isn't one of them."""
+    short = F.octet_length(F.col(f"row.`{text_col}`")) < SHORTEST
+    said = identify(docs, network, text_col).where((F.col("lang_pred") != UNDETERMINED) & (short | (F.col("noise") < reject)))
     if languages is not None:
         said = said.where(F.col("lang_pred").isin(list(languages)))
     return said.select("row.*")
