@@ -22,7 +22,7 @@ the shards they belong to, and the answers come back to the lot.  Both ways retu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -231,14 +231,18 @@ def _merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Filter:
-    """The filter in a task: segments of one kind lie behind each other."""
+    """The filter in a task: segments of one kind lie behind each other.  ``words`` has the number of 64-bit words of each
+    (kind, shard); ``segments`` gives (kind, shard, bits), each copied into its place as it comes."""
 
-    def __init__(self, segments: dict[int, dict[int, bytes]], shards: int):
+    def __init__(self, words: dict[tuple[int, int], int], segments: Iterable[tuple[int, int, bytes]], shards: int):
         self.shards, self.field, self.at, self.size = shards, {}, {}, {}
-        for kind, own in segments.items():
-            sizes = np.array([len(own.get(s, b"")) // 8 for s in range(shards)], np.int64)
+        for kind in {k for k, _ in words}:
+            sizes = np.array([words.get((kind, s), 0) for s in range(shards)], np.int64)
             self.at[kind], self.size[kind] = np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
-            self.field[kind] = np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), np.uint64)
+            self.field[kind] = np.zeros(sizes.sum(), np.uint64)
+        for kind, shard, bits in segments:
+            at = self.at[kind][shard]
+            self.field[kind][at : at + self.size[kind][shard]] = np.frombuffer(bits, np.uint64)
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The quantised level of each key, 0 if it isn't in."""
@@ -287,9 +291,10 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     columns = ["doc_id", (~F.col("held")).alias("learned"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
     passes: list[list[tuple[int, int]]] = [[]]
     fits = most <= room and pair_bytes <= room * most_passes and n_exact <= exact_words
-    if fits:
-        of_pairs = dict.fromkeys(range(shards), 0) | {r["shard"]: r["size"] for r in merged.where(F.col("kind") == PAIR).select("shard", size.alias("size")).collect()}  # a filter that fits has few
-        for shard, own in of_pairs.items():  # every shard is in one pass, an empty one too
+    if fits:  # few shards, then
+        sizes = {(r["kind"], r["shard"]): r["size"] for r in merged.select("kind", "shard", size.alias("size")).collect()}
+        for shard in range(shards):  # every shard is in one pass, an empty one too
+            own = sizes.get((PAIR, shard), 0)
             if passes[-1] and sum(s for _, s in passes[-1]) + own > room:
                 passes.append([])
             passes[-1].append((shard, own))
@@ -297,27 +302,25 @@ def score_texts(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
         return _asked_scores(numbered, merged, shards, n, v).select(*columns)
 
     context = docs.sparkSession.sparkContext
-    rows = merged.where(F.col("kind") == WORD).select("keys", "counts").toPandas()
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]] or [np.zeros(0, np.int64)])
+    keys, counts, at = np.zeros(n_exact, np.uint64), np.zeros(n_exact, np.int64), 0
+    for r in merged.where(F.col("kind") == WORD).select("keys", "counts").toLocalIterator():
+        to = at + len(r["keys"]) // 8
+        keys[at:to], counts[at:to], at = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64), to
     order = np.argsort(keys)
     exact = context.broadcast((keys[order], counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))))
-    del rows, keys, counts, order
+    del keys, counts, order
     if len(passes) > 1:  # parts of a row meet again by its number
         numbered = materialise(numbered, "lm-rows")
     parts = []
     for number, own in enumerate(passes):
-        wanted = merged.where((F.col("kind") != PAIR) | F.col("shard").isin([s for s, _ in own])).select("kind", "shard", "bits")
-        bits: dict[int, dict[int, bytes]] = {}
-        for r in wanted.toLocalIterator():
-            bits.setdefault(r["kind"], {})[r["shard"]] = bytes(r["bits"])
-        field = context.broadcast(Filter(bits, shards))
-        del bits
-        part = numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(s for s, _ in own)), f"{_ddl(numbered, 'doc_id')}, held boolean, row_no long, {SCORES}")
-        if len(passes) > 1:  # one pass's filter at a time
-            part = materialise(part, "lm-pass")
-            field.unpersist()
-        parts.append(part)
+        in_pass = {s for s, _ in own}
+        wanted = merged.where((F.col("kind") != PAIR) | F.col("shard").isin(sorted(in_pass))).select("kind", "shard", "bits")
+        words = {(kind, shard): b // 8 for (kind, shard), b in sizes.items() if kind != PAIR or shard in in_pass}
+        field = context.broadcast(Filter(words, ((r["kind"], r["shard"], r["bits"]) for r in wanted.toLocalIterator()), shards))
+        part = numbered.mapInArrow(_scorer(field, exact if number == 0 else None, n, v, number == 0, frozenset(in_pass)), f"{_ddl(numbered, 'doc_id')}, held boolean, row_no long, {SCORES}")
+        parts.append(materialise(part, "lm-pass"))  # some numbers a row; so the broadcasts can go
+        field.destroy()
+    exact.destroy()
     scored = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:

@@ -35,7 +35,7 @@ def test_language_id_odd_rows(odd, odd_rows, empty):
             assert r["lang_pred"] in ("de", "en")
     kept = language_id.keep_known_languages(odd, network)
     said = language_id.identify(odd, network).select("row.text", "lang_pred", "noise").collect()
-    assert kept.columns == odd.columns and kept.count() == sum(r["lang_pred"] != "und" and r["noise"] < 0.9 for r in said)
+    assert kept.columns == odd.columns and kept.count() == sum(r["lang_pred"] != "und" and (r["noise"] < language_id.REJECT or len(r["text"].encode()) < language_id.SHORTEST) for r in said)
     assert language_id.keep_known_languages(odd, network, languages=["de"]).count() <= sum(r["lang_pred"] == "de" for r in said)
     assert language_id.train(empty, F.lit(True)) is None
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
@@ -209,8 +209,8 @@ def test_filter_finds_all_and_few_others():
     keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
     levels = rng.integers(1, 9, len(keys))
     shard = ngram_lm._shard(keys, 4)
-    segments = {ngram_lm.PAIR: {s: ngram_lm._segment(keys[shard == s], levels[shard == s]) for s in range(4)}}
-    field = ngram_lm.Filter(segments, 4)
+    segments = {s: ngram_lm._segment(keys[shard == s], levels[shard == s]) for s in range(4)}
+    field = ngram_lm.Filter({(ngram_lm.PAIR, s): len(b) // 8 for s, b in segments.items()}, ((ngram_lm.PAIR, s, b) for s, b in segments.items()), 4)
     found = field.levels(ngram_lm.PAIR, keys)
     assert (found >= levels).all() and (found == levels).mean() > 0.97
     assert (field.levels(ngram_lm.PAIR, rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.03
