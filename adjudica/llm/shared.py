@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -44,7 +45,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{tables_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stored_at = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` has returned and that no later step reads.  The shuffle files of finished jobs
+    go once the driver's garbage is collected, so that is asked for too: an operator of many steps needs the disk of its
+    largest, not of all."""
+    spark = tables[0].sparkSession
+    for table in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
