@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import exact_dedup, html_text, language_id, mixing, ngram_lm, packing, quality, sharding, simhash, suffix_dedup, topk
+from adjudica.llm import collocation, exact_dedup, html_text, importance, language_id, mixing, ngram_lm, packing, quality, sharding, simhash, suffix_dedup, topk
 from adjudica.llm.shared import held_out
 
 
@@ -70,6 +70,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op8_lm_scores, op9_exact_dedup, op10_simhash_near_dedup, op11_suffix_dedup)
+    f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_mix_sources, op4_jump_shards, op5_html_text, op6_best_fit_packing, op7_quality, op8_lm_scores, op9_exact_dedup, op10_simhash_near_dedup, op11_suffix_dedup, op12_importance_resampling, op13_collocations)
 }

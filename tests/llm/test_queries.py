@@ -15,7 +15,7 @@ from tests.llm.test_near_copies import plain_set, similar
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(oracle.ORACLES) <= set(queries.QUERIES)
 
