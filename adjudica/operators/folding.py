@@ -5,23 +5,29 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than one in so many rows is hot; fewer keys than this can be.
 HOT_KEYS = 1000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read again, which cuts the lineage with files
-    that outlive any executor.  A local session without that setting uses its warehouse; a cluster must name a folder."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this application below ``spark.checkpoint.dir``, which driver and executors share.  A local session
+    without that setting uses its warehouse; a cluster must name a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/adjudica-checkpoints"
-    path = f"{folder.rstrip('/')}/adjudica-staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/adjudica-staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in a folder of its own (:func:`own_folder`) and read again, which cuts the lineage with files
+    that outlive any executor."""
+    spark = df.sparkSession
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
