@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adjudica.operators.folding import staged
 from adjudica.sources.files import running_ids
@@ -27,14 +26,11 @@ def resampled(units: DataFrame, stratum: str, unit: str, replicates: int, seed:
     """``units`` drawn with replacement within each stratum: their columns, once for each draw, and ``rep``.
 
     Replicates are dealt over the tasks, and a task draws whole replicates, so a grouped aggregate by stratum and replicate
-    combines before it shuffles.  Up to ``BROADCAST_UNITS`` units, draws find theirs without moving.  Units of a bigint key
-    are numbered by ranges; others, which are clusters, within their stratum.
+    combines before it shuffles.  Up to ``BROADCAST_UNITS`` units, draws find theirs without moving.  Units are
+    numbered by ranges, whatever their key.
     """
     units = staged(units, "units")
-    if isinstance(units.schema[unit].dataType, T.LongType):
-        placed = running_ids(units, stratum, unit, "_at")
-    else:
-        placed = units.withColumn("_at", F.row_number().over(Window.partitionBy(stratum).orderBy(unit)) - 1)
+    placed = running_ids(units, stratum, unit, "_at")
     placed = staged(placed.withColumn("_at", F.col("_at").cast("int")), "placed")
     sizes = placed.groupBy(stratum).agg(F.count("*").alias("_m"))
     span = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)

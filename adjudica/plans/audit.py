@@ -75,12 +75,16 @@ def null_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("last").isNotNull() & null).alias("null_vectors"), F.count_if(F.col("last").isNull()).alias("unknown"))
 
 
-@query("SELECT array_to_string(o[s + 1:] || o[:s], ',') AS rotated, s AS shift FROM (SELECT ['en', 'de', 'fr', 'es'] AS o, unnest(range(0, 4)) AS s)")
+@query(VIEWS + """, o AS (SELECT run, case_id, opt, label, (ord - case_id % 4 + 4) % 4 AS place FROM v_option JOIN v_choice USING (run, case_id))
+SELECT run, case_id, string_agg(opt, ',' ORDER BY place) AS rotated, CAST(max(CASE WHEN opt = label THEN place END) AS BIGINT) AS shown_at FROM o GROUP BY run, case_id""")
 def rotate_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rotation of the options' order."""
-    listed = F.array(*[F.lit(x) for x in OPTIONS])
-    turn = F.concat(F.slice(listed, F.col("shift") + 1, len(OPTIONS)), F.slice(listed, F.lit(1), F.col("shift")))
-    return spark.range(len(OPTIONS)).select(F.col("id").alias("shift")).withColumn("shift", F.col("shift").cast("int")).select(F.array_join(turn, ",").alias("rotated"), F.col("shift").cast("long").alias("shift"))
+    """Each case's options turned by its own shift (modulo their number), and where its choice then stands."""
+    n = len(OPTIONS)
+    turned = tables.options(spark, sf_dir).select("run", "case_id", "opt", F.pmod(F.col("ord") - F.col("case_id") % n, F.lit(n)).alias("place"))
+    chosen = choices(spark, sf_dir).select("run", "case_id", "label")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "opt"))), lambda x: x["opt"]), ",")
+    at = F.max(F.when(F.col("opt") == F.col("label"), F.col("place")))
+    return turned.join(chosen, ["run", "case_id"]).groupBy("run", "case_id").agg(listed.alias("rotated"), at.cast("long").alias("shown_at"))
 
 
 @query(VIEWS + """, a AS (SELECT case_id, phase, label FROM v_choice WHERE run = 0 AND NOT err), b AS (SELECT case_id, label FROM v_choice WHERE run = 1 AND NOT err), j AS (SELECT phase, a.label AS la, b.label AS lb, list_position(['en','de','fr','es'], a.label) AS pa, list_position(['de','fr','es','en'], b.label) AS pb FROM a JOIN b USING (case_id))
@@ -95,10 +99,15 @@ def choice_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "case_id").groupBy("phase").agg(F.count("*").alias("n"), F.count_if(differ).alias("changed"), F.count_if(differ & stays).alias("keeps_position"))
 
 
-@query(VIEWS + "SELECT run, case_id, round(p, 6) AS p FROM v_choice WHERE NOT err AND label = 'en' AND p >= CAST(0.7 AS DOUBLE) AND gt <> 'en'")
+@query(VIEWS + """, s AS (SELECT run, case_id, err, gt, opt, ord, CAST(w AS DOUBLE) * w * w * w AS w FROM v_option), p AS (SELECT *, w / sum(w) OVER (PARTITION BY run, case_id) AS p FROM s)
+SELECT run, case_id, gt, round(p, 6) AS p FROM p WHERE NOT err AND opt = 'en' AND p >= CAST(0.7 AS DOUBLE) AND gt <> 'en'""")
 def primacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First option chosen firmly and wrongly."""
-    return choices(spark, sf_dir).where((~F.col("err")) & (F.col("label") == OPTIONS[0]) & (F.col("p") >= 0.7) & (F.col("gt") != OPTIONS[0])).select("run", "case_id", rounded(F.col("p")).alias("p"))
+    """First option chosen firmly (0.7 or more, of weights sharpened to their fourth power) and wrongly."""
+    w = F.col("w").cast("double")
+    sharp = tables.options(spark, sf_dir).where("NOT err").withColumn("s", w * F.col("w") * F.col("w") * F.col("w"))
+    whole = sharp.groupBy("run", "case_id").agg(F.sum("s").alias("whole"), *[F.max(F.when(F.col("opt") == OPTIONS[0], F.col("s"))).alias("first"), F.first("gt").alias("gt")])
+    p = F.col("first") / F.col("whole")
+    return whole.where((p >= 0.7) & (F.col("gt") != OPTIONS[0])).select("run", "case_id", "gt", rounded(p).alias("p"))
 
 
 @query(VIEWS + "SELECT run, round(sum(cost), 9) AS recorded, round(max(cost), 9) AS highest, CAST(sum(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown, CAST(sum(CASE WHEN cost > CAST(0.00004 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS over_cap, round(greatest(sum(cost), CAST(0.0085 AS DOUBLE)), 9) AS prior, round(CAST(0.02 AS DOUBLE) - sum(cost) - greatest(CAST(0.001 AS DOUBLE), sum(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) * CAST(0.00005 AS DOUBLE)), 9) AS remaining FROM v_records GROUP BY run")

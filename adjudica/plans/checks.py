@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adjudica.operators.folding import staged
 from adjudica.plans.gates import first_reason
@@ -31,24 +36,48 @@ def answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("run", first_reason(breaches, "ok").alias("problem")).agg(F.count("*").alias("n"))
 
 
-def error_class(there: Column, message: Column) -> Column:
-    """The class of an error, by the first rule that holds: no record, no message, rejection, transport, timeout, local, other."""
-    text = F.lower(message)
-    status = F.regexp_extract(text, r"http error (\d+)", 1)
-    transport = (status != "") | text.contains("connection") | text.contains("ssl")
-    return first_reason({"missing": ~there, "none": message.isNull(), "rejection": text.contains("refus") | text.contains("policy") | status.isin("400", "422"), "timeout": text.contains("timed out") | status.isin("408", "504"), "transport": transport, "local": text.contains("no such file") | text.contains("memory")}, "other")
-
+#: What an error's lower-cased text says, in the order in which the classes are tried.
+REFUSAL_STATUS, REFUSAL = "502", "refused to answer"
+SIGNS = {
+    "timeout": ("timeout", "timed out"),
+    "local": ("malform", "valid", "schema", "parse", "local"),
+    "transport": ("connection", "network", "refused", "econn"),
+}
 
-_MESSAGES = ("refused by policy", "HTTP Error 422: bad", "timed out", "HTTP Error 504", "Connection reset", "HTTP Error 429", "No such file or directory", "strange")
 
+def error_class(there: Column, error: Column) -> Column:
+    """The class of a record's error (a JSON value as text; null: none), by the first rule that holds.
 
-@query(VIEWS + ", e AS (SELECT run, case_id % 11 <> 3 AS there, lower(CASE " + " ".join(f"WHEN case_id % 9 = {k} THEN '{m}'" for k, m in enumerate(_MESSAGES)) + """ END) AS m FROM v_records WHERE err), s AS (SELECT *, regexp_extract(m, 'http error ([0-9]+)', 1) AS c FROM e)
-SELECT run, CASE WHEN NOT there THEN 'missing' WHEN m IS NULL THEN 'none' WHEN contains(m, 'refus') OR contains(m, 'policy') OR c IN ('400', '422') THEN 'rejection' WHEN contains(m, 'timed out') OR c IN ('408', '504') THEN 'timeout' WHEN c <> '' OR contains(m, 'connection') OR contains(m, 'ssl') THEN 'transport' WHEN contains(m, 'no such file') OR contains(m, 'memory') THEN 'local' ELSE 'other' END AS kind, count(*) AS n FROM s GROUP BY ALL""")
+    No record is ``missing``, no error has no class, and an error that isn't a text is ``other``.  A text with an HTTP status is a
+    ``rejection`` if that is 502 and the text says that an answer was refused, else ``transport``, whatever else it says;
+    texts without a status go by their words.
+    """
+    text = F.lower(error)
+    status = F.regexp_extract(text, r"http error (\d+)", 1)
+    says = lambda signs: reduce(Column.__or__, [text.contains(x) for x in signs])
+    rules = {
+        "missing": ~there,
+        None: error.isNull(),
+        "other": ~error.startswith('"'),
+        "rejection": (status == REFUSAL_STATUS) & text.contains(REFUSAL),
+        "transport": status != "",
+    }
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, holds in [*rules.items(), *[(name, says(signs)) for name, signs in SIGNS.items()]]:
+        found = found.when(holds, F.lit(name))
+    return found.otherwise("other")
+
+
+_ERRORS = ('"HTTP Error 502: refused to answer"', '"HTTP Error 502: bad gateway"', '"HTTP Error 400: schema"', '"HTTP Error 504: timed out"', '"Request timed out"', '"Connection refused"', '"schema mismatch: invalid JSON"', '"ECONNRESET"', '"network is down, read timeout"', '{"code": 7}', '"strange"', None)
+
+
+@query(VIEWS + ", e AS (SELECT run, case_id % 23 <> 3 AS there, CASE " + " ".join(f"WHEN case_id % 12 = {k} THEN '{m}'" for k, m in enumerate(_ERRORS) if m) + """ END AS m FROM v_records), s AS (SELECT *, lower(m) AS t, regexp_extract(lower(m), 'http error ([0-9]+)', 1) AS c FROM e)
+SELECT run, CASE WHEN NOT there THEN 'missing' WHEN m IS NULL THEN NULL WHEN NOT starts_with(m, '"') THEN 'other' WHEN c = '502' AND contains(t, 'refused to answer') THEN 'rejection' WHEN c <> '' THEN 'transport' WHEN contains(t, 'timeout') OR contains(t, 'timed out') THEN 'timeout'
+WHEN contains(t, 'malform') OR contains(t, 'valid') OR contains(t, 'schema') OR contains(t, 'parse') OR contains(t, 'local') THEN 'local' WHEN contains(t, 'connection') OR contains(t, 'network') OR contains(t, 'refused') OR contains(t, 'econn') THEN 'transport' ELSE 'other' END AS kind, count(*) AS n FROM s GROUP BY ALL""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("case_id") % 9
-    message = first_reason({m: k == i for i, m in enumerate(_MESSAGES)}, "")
-    failed = tables.records(spark, sf_dir).where("err")
-    return failed.groupBy("run", error_class(F.col("case_id") % 11 != 3, F.nullif(message, F.lit(""))).alias("kind")).agg(F.count("*").alias("n"))
+    k = F.col("case_id") % len(_ERRORS)
+    error = reduce(lambda c, x: c.when(k == x[0], F.lit(x[1])), enumerate(_ERRORS), F.when(F.lit(False), F.lit(None).cast("string")))
+    return tables.records(spark, sf_dir).groupBy("run", error_class(F.col("case_id") % 23 != 3, error).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def queue(universe: DataFrame, records: DataFrame, key: str, *, retry: bool, most: int) -> DataFrame:
@@ -92,12 +121,12 @@ def cell_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("run", "phase", first_reason({name: shares.get(name, F.col(name) > 0 if name in holds else F.lit(False)) for name in _NOTES}, "evaluable").alias("note"))
 
 
-@query("WITH k AS (SELECT doc_id % 211 AS key, source, lang FROM documents WHERE doc_id % 211 < 60 OR source = 'src1') SELECT source, lang = 'en' AS restricted, count(*) AS n_in, CAST(sum(CASE WHEN key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) > 1) THEN 0 ELSE 1 END) AS BIGINT) AS n_out FROM k GROUP BY ALL")
+@query("WITH k AS (SELECT doc_id % 2111 AS key, source, lang FROM documents) SELECT source, lang = 'en' AS restricted, count(*) AS n_in, CAST(sum(CASE WHEN key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) > 1) THEN 0 ELSE 1 END) AS BIGINT) AS n_out FROM k GROUP BY ALL")
 def clean_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each bucket before and after every occurrence of a key that several buckets have is dropped."""
     from adjudica.operators.curation import in_several_buckets
 
-    rows = read(spark, sf_dir, "documents").where("doc_id % 211 < 60 OR source = 'src1'").select((F.col("doc_id") % 211).alias("key"), "source", "lang")
+    rows = read(spark, sf_dir, "documents").select((F.col("doc_id") % 2111).alias("key"), "source", "lang")
     several = in_several_buckets(rows, "key", "source").withColumn("twice", F.lit(True))
     return rows.join(several, "key", "left").groupBy("source", (F.col("lang") == "en").alias("restricted")).agg(F.count("*").alias("n_in"), F.count_if(F.col("twice").isNull()).alias("n_out"))
 
@@ -110,12 +139,11 @@ c AS (SELECT DISTINCT doc_id % 23 AS grp FROM labels)
 @query(_FACTS + """SELECT 'repeated id' AS problem, count(*) AS n FROM (SELECT id FROM f GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'label', count(*) FROM f WHERE label NOT IN (0, 1) UNION ALL SELECT 'true without evidence', count(*) FROM f WHERE label = 1 AND evidence = ''
 UNION ALL SELECT 'false without trap or evidence', count(*) FROM f WHERE label = 0 AND evidence = '' AND trap = '' UNION ALL SELECT 'pattern', count(*) FROM f WHERE trap = '(' UNION ALL SELECT 'reference', count(*) FROM f WHERE NOT included UNION ALL SELECT 'case without facts', count(*) FROM c WHERE grp NOT IN (SELECT grp FROM f)""")
 def fact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaches of the seven rules of a fact bank, by kind; a pattern is tried on the engine's own expressions."""
+    """Breaches of the seven rules of a fact bank, by kind; patterns are compiled in the tasks that read them."""
     doc = F.col("doc_id")
     facts = read(spark, sf_dir, "labels").select(F.when(doc % 40 == 7, F.lit(7).cast("long")).otherwise(doc).alias("id"), (doc % 20).alias("grp"), F.when(doc % 61 == 5, 2).otherwise(F.col("quality")).alias("label"), F.when(doc % 5 == 0, "").otherwise("x+").alias("evidence"), F.when(doc % 3 == 0, "").when(doc % 47 == 1, "(").otherwise("y").alias("trap"), (doc % 71 != 11).alias("included"), (doc % 23).alias("case"))
-    bad = [r["trap"] for r in facts.select("trap").distinct().collect() if not _compiles(r["trap"])]  # the few patterns of a bank
     label, evidence, trap = F.col("label"), F.col("evidence"), F.col("trap")
-    counts = facts.agg(F.count_if(~label.isin(0, 1)).alias("label"), F.count_if((label == 1) & (evidence == "")).alias("true without evidence"), F.count_if((label == 0) & (evidence == "") & (trap == "")).alias("false without trap or evidence"), F.count_if(trap.isin(bad) if bad else F.lit(False)).alias("pattern"), F.count_if(~F.col("included")).alias("reference"))
+    counts = facts.agg(F.count_if(~label.isin(0, 1)).alias("label"), F.count_if((label == 1) & (evidence == "")).alias("true without evidence"), F.count_if((label == 0) & (evidence == "") & (trap == "")).alias("false without trap or evidence"), F.count_if(~_compiles(trap)).alias("pattern"), F.count_if(~F.col("included")).alias("reference"))
     rows = counts.unpivot([], counts.columns, "problem", "n")
     repeated = facts.groupBy("id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n"))
     empty = facts.select(F.col("case").alias("grp")).distinct().join(facts.select("grp").distinct(), "grp", "left_anti").agg(F.count("*").alias("n"))
@@ -123,14 +151,19 @@ def fact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(named(repeated, "repeated id")).unionByName(named(empty, "case without facts"))
 
 
-def _compiles(pattern: str) -> bool:
-    import re
+@F.pandas_udf(T.BooleanType())
+def _compiles(patterns: pd.Series) -> pd.Series:
+    """Whether each text is a regular expression of Python's ``re``; one that repeats in a batch is tried once."""
+
+    def tried(pattern: str) -> bool:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
 
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+    known = {p: tried(p) for p in patterns.dropna().unique()}
+    return patterns.map(known)
 
 
 @query("""WITH h AS (SELECT doc_id, source, CAST(regexp_matches(text, 'Licensed') AS INT) AS a, CAST(regexp_matches(text, 'example') AS INT) AS b, regexp_matches(lower(text), 'ignore (all|previous)') AS injected FROM documents)

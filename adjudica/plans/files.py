@@ -13,7 +13,7 @@ from adjudica.sources.tables import read
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS id FROM documents")
 def split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running ids within each split."""
-    return files.running_ids(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", "id", width=64)
+    return files.running_ids(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", "id")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS pmid, 'On ' || lang AS title, CASE WHEN doc_id % 3 = 0 THEN 'AIM: a' || chr(10) || 'END: ' || source ELSE source END AS abstract, CAST(1 + doc_id % 2 AS INT) AS authors, lang AS langs, CAST(CASE WHEN doc_id % 2 = 0 THEN 1990 + doc_id % 30 ELSE 2001 END AS INT) AS year FROM documents")
@@ -33,7 +33,7 @@ def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.log_requests(begun.unionByName(ended))
 
 
-@query("SELECT doc_id, '[redacted]' AS api_key, lang AS model FROM documents")
+@query("SELECT doc_id, '<redacted>' AS api_key, lang AS model FROM documents")
 def redact_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = files.redacted(F.create_map(F.lit("api_key"), F.col("source"), F.lit("model"), F.col("lang")))
     return read(spark, sf_dir, "documents").select("doc_id", options["api_key"].alias("api_key"), options["model"].alias("model"))

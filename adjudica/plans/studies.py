@@ -164,11 +164,16 @@ def question_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("phase", short_digest(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))).alias("questions_sha"))
 
 
-@query("""SELECT event_id, '{"api_key":"<redacted>","list":[{"Token":"<redacted>"},' || user_id || '],"nested":"{\\"deep\\":{\\"password\\":\\"<redacted>\\",\\"n\\":' || event_id || '}}","kind":"' || event_type || '"}' AS safe FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{"max_tokens": ' || user_id || ', "kind": "' || event_type || '"}' WHEN event_id % 5 = 1 THEN '{broken "token": 1' ELSE
+'{"api_key":"<redacted>","max_tokens":7,"list":[{"Token":"<redacted>"},' || user_id || ',{"Set-Cookie":"<redacted>"}],"nested":"{\\"deep\\":{\\"password\\":\\"<redacted>\\",\\"n\\":' || event_id || '}}","kind":"' || event_type || '"}' END AS safe FROM events""")
 def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of fields with telling names, at any depth and inside JSON that is kept as a text, are replaced."""
-    inner = F.concat(F.lit('{\\"deep\\":{\\"password\\":'), F.col("user_id").cast("string"), F.lit(',\\"n\\":'), F.col("event_id").cast("string"), F.lit("}}"))
-    raw = F.concat(F.lit('{"api_key":"k","list":[{"Token":1},'), F.col("user_id").cast("string"), F.lit('],"nested":"'), inner, F.lit('","kind":"'), F.col("event_type"), F.lit('"}'))
+    """Values of fields with telling names, at any depth and inside JSON that an option has as a text, are replaced; options
+    with nothing to hide and texts that aren't JSON stay as they are."""
+    n, user, kind = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    inner = F.concat(F.lit('{\\"deep\\":{\\"password\\":'), user, F.lit(',\\"n\\":'), n, F.lit("}}"))
+    whole = F.concat(F.lit('{"api_key":"k","max_tokens":7,"list":[{"Token":1},'), user, F.lit(',{"Set-Cookie":{"a":1}}],"nested":"'), inner, F.lit('","kind":"'), kind, F.lit('"}'))
+    plain = F.concat(F.lit('{"max_tokens": '), user, F.lit(', "kind": "'), kind, F.lit('"}'))
+    raw = F.when(F.col("event_id") % 5 == 0, plain).when(F.col("event_id") % 5 == 1, '{broken "token": 1').otherwise(whole)
     return read(spark, sf_dir, "events").select("event_id", redacted(raw).alias("safe"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adjudica.functions.redaction import HIDDEN, TELLING
+from adjudica.operators.folding import staged
+
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines give no rows.  The schema is given, so nothing is read to infer it."""
@@ -26,32 +29,40 @@ def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def running_ids(rows: DataFrame, by: str, order: str, name: str, width: int = 100_000) -> DataFrame:
-    """``rows`` with ``name``: 0, 1, 2, ... within each ``by`` in the order of the unique bigint ``order``.
+def _ranged(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """``rows`` dealt by ranges of (by, order) and written, with _place (rising in that order) and _task (its range)."""
+    sorted_rows = rows.repartitionByRange(by, order).sortWithinPartitions(by, order)
+    return staged(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), name).withColumn("_task", F.shiftright("_place", 33))
+
+
+def _shifted(ranged: DataFrame, by: str, what: Column, none: Column) -> DataFrame:
+    """``ranged`` with _first, the least place of its group in its range, and _before, the sum of ``what`` over the ranges before.
+
+    Only one row a group and range is summed up in order, however many rows a group has.
+    """
+    spans = ranged.groupBy(by, "_task").agg(F.min("_place").alias("_first"), what.alias("_what"))
+    earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col(by).alias("_by"), F.col("_task").alias("_of"), "_first", F.coalesce(F.sum("_what").over(earlier), none).alias("_before"))
+    return ranged.join(spans, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_task") == F.col("_of")))
+
+
+def running_ids(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, ... within each ``by`` in the order of ``order``, whatever its type and gaps.
 
-    Ranks are taken within ranges of ``width`` and shifted by the counts of the ranges before, so a group is never sorted
-    in one task.
+    Rows are dealt by ranges of near equal size, so a group is never sorted in one task.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy(by, "_range").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), before.alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)) - 1
-    numbered = ranged.withColumn("_rank", rank).join(shifts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
-    return numbered.withColumn(name, F.col("_rank") + F.col("_shift")).drop("_range", "_rank", "_shift", "_by", "_of")
+    shifted = _shifted(_ranged(rows, by, order, "running-ids"), by, F.count("*"), F.lit(0))
+    return shifted.withColumn(name, F.col("_place") - F.col("_first") + F.col("_before")).select(*rows.columns, name)
 
 
-def running_sums(rows: DataFrame, by: str, order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+def running_sums(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` (null: 0) over the rows of ``by`` up to this one in the order of the unique
-    bigint ``order``, summed within ranges of ``width`` and shifted by the ranges before, as in :func:`running_ids`."""
+    ``order``, summed within ranges and shifted by the ranges before, as in :func:`running_ids`."""
     known = F.coalesce(F.col(value), F.lit(0.0))
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
-    sums = ranged.groupBy(by, "_range").agg(F.sum(known).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    shifts = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), before.alias("_shift"))
-    within = F.sum(known).over(Window.partitionBy(by, "_range").orderBy(order))
-    summed = ranged.withColumn("_sum", within).join(shifts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
-    return summed.withColumn(name, F.col("_sum") + F.col("_shift")).drop("_range", "_sum", "_shift", "_by", "_of")
+    ranged = _ranged(rows, by, order, "running-sums")
+    ranged = ranged.withColumn("_sum", F.sum(known).over(Window.partitionBy("_task", by).orderBy("_place")))
+    shifted = _shifted(ranged, by, F.sum(known), F.lit(0.0))
+    return shifted.withColumn(name, F.col("_sum") + F.col("_before")).select(*rows.columns, name)
 
 
 def article(xml: Column) -> Column:
@@ -106,6 +117,6 @@ def replace_section(document: str, name: str, body: str) -> str:
     return pattern.sub(lambda m: f"{m[1]}\n{body}\n{m[2]}", document)
 
 
-def redacted(values: Column, secret: str = r"(?i)key|token|secret|password|authorization") -> Column:
-    """A map of strings with the values of secret keys replaced."""
-    return F.transform_values(values, lambda k, v: F.when(k.rlike(secret), F.lit("[redacted]")).otherwise(v))
+def redacted(values: Column) -> Column:
+    """A map of strings with the values of telling keys replaced."""
+    return F.transform_values(values, lambda k, v: F.when(k.rlike(f"(?i){TELLING.pattern}"), F.lit(HIDDEN)).otherwise(v))
