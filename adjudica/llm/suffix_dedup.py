@@ -3,7 +3,7 @@
 A position is removed if a string of ``length`` bytes that covers it starts anywhere else too.
 
 1. *Reduction.*  Texts are cut where their own bytes say so (the hash of eight bytes; where no such cut comes for long, cuts
-   of a second and a third kind), so that equal strings are cut alike and the parts from a cut on depend on nothing
+   of further kinds, down to one at every position), so that equal strings are cut alike and the parts from a cut on depend on nothing
    before it.  Each position has a cut, at most ``gap`` bytes on, that every other occurrence of its ``length`` bytes has at the
    same place.  Only cuts whose next ``length - gap`` bytes occur twice can be such; they and what follows them go on.
 2. *Suffix array.*  The parts between those cuts, sorted as bytes, are named by their order, and the difference-cover
@@ -66,9 +66,20 @@ class Rule:
     length: int
 
     @property
-    def reach(self) -> tuple[int, int]:
-        """Bytes without a cut of the first kind before the second counts, without the second before the third does."""
-        return self.length // 2, self.length // 5
+    def reach(self) -> tuple[int, int, int]:
+        """Bytes without a mark of the first, second and third kind before those of the next kind count; after the last,
+        every position does."""
+        return self.length // 2, self.length // 5, self.length // 10
+
+    @property
+    def ahead(self) -> int:
+        """Positions ahead whose hashes a mark of the third kind is not above: texts of a shorter period have one in each."""
+        return self.length // 13
+
+    @property
+    def tail(self) -> int:
+        """Bytes after a cut that it depends on."""
+        return GRAM + self.ahead
 
     @property
     def gap(self) -> int:
@@ -120,15 +131,28 @@ class Block(Sums):
         grams, whole = grams[:n], left >= GRAM
         self.one = (((grams * _FIRST) >> _U(64 - rule.bits[0])) == 0) & whole
         two = (((grams * _SECOND) >> _U(64 - rule.bits[1])) == 0) & whole
-        begins = np.repeat(self.starts, size) - 1
-        far = self._since(self.one, at, begins) > rule.reach[0]
-        self.cut = self.one | far & (two | (self._since(two, at, begins) > rule.reach[1]))
+        kinds = (self.one, two, self._lowest(grams, left), np.ones(n, bool))
+        begins, wanted = np.repeat(self.starts, size) - 1, np.ones(n, bool)
+        self.cut = self.one.copy()
+        for before, marks, reach in zip(kinds, kinds[1:], rule.reach, strict=False):
+            wanted &= self._since(before, at, begins) > reach
+            self.cut |= wanted & marks
         self.periodic = list(self._periodic())
         for begin, end, q in self.periodic:
             self.cut[begin + rule.reach[0] + q : max(0, end - rule.length - q + 1)] = False
         self.cuts = np.flatnonzero(self.cut)
         self.text_of = of[self.cuts]
 
+    def _lowest(self, grams: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Marks of the third kind."""
+        mixed = _mix(grams)
+        low, size, n = mixed.copy(), 1, len(mixed)
+        while size <= self.rule.ahead:  # the least of ``size`` positions from each, doubled
+            step = min(size, self.rule.ahead + 1 - size)
+            low[: max(0, n - step)] = np.minimum(low[: max(0, n - step)], low[step:])
+            size += step
+        return (mixed == low) & (left >= self.rule.tail)
+
     @staticmethod
     def _since(marks: np.ndarray, at: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Bytes since the last mark before each position; the text's beginning counts as one."""
@@ -164,7 +188,7 @@ class Block(Sums):
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each cut: the first and the last position whose shared cut it is (first > last: none), and whether another cut
         or the beginning of the text, which an equal match need not have, is what bounds them."""
-        begin, (reach, _) = self.starts[self.text_of] - 1, self.rule.reach
+        begin, reach = self.starts[self.text_of] - 1, self.rule.reach[0]
         one = self.one[self.cuts]
         before = lambda marks: np.maximum(np.concatenate([[-1], np.maximum.accumulate(np.where(marks, self.cuts, -1))[:-1]]) if len(marks) else self.cuts, begin)
         last_one, last_other = before(one), before(~one)
@@ -178,7 +202,7 @@ class Block(Sums):
 
 def _pieces(text: bytes, rule: Rule) -> Iterator[tuple[int, int, int, int]]:
     """(from, to, own from, own to) of a text's pieces: each sees enough bytes beyond what it owns."""
-    around = 2 * rule.length + 2 * GRAM
+    around = 2 * rule.length + 2 * rule.tail
     for own in range(0, len(text), BLOCK):
         yield max(0, own - around), min(len(text), own + BLOCK + around), own, min(len(text), own + BLOCK)
 
@@ -256,7 +280,7 @@ def _parts(texts: DataFrame, rule: Rule) -> DataFrame:
                 short = rest < rule.least
                 cut_out = lambda a, b: pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_pydict({
-                    "row_no": row[c], "at": place[c], "span": to - at, "rest": rest, "part": cut_out(at, np.minimum(to + GRAM, stop)),
+                    "row_no": row[c], "at": place[c], "span": to - at, "rest": rest, "part": cut_out(at, np.minimum(to + rule.tail, stop)),
                     "key": pa.array(block.hashes(at, np.where(short, 0, rule.least)), mask=short), "full": block.hashes(at, np.minimum(rest, rule.length)),
                     "more": cut_out(np.minimum(at + rule.length, stop), np.minimum(to + rule.length - 1, stop)),
                     "first": first + shift, "last": last + shift, "free": free, "lead": block.hashes(at - lead, lead),
@@ -473,13 +497,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """One row for each row of ``docs``: row (a struct of all its columns), spans (array of (from, to) in bytes, the maximal
     removed runs, in order), n_bytes, kept (the bytes that stay).
 
-    A byte of the UTF-8 text goes if some ``length`` bytes (40 or more) that cover it also start at another place of any text, its own
+    A byte of the UTF-8 text goes if some ``length`` bytes (64 or more) that cover it also start at another place of any text, its own
     included; overlapping matches count, and all are judged on the input.  Null counts as empty; texts shorter than ``length``
     lose nothing, however often they occur; of repeated rows every one is emptied, and so is one text under several ids.
     Empty tables give no rows.  Columns keep their names inside ``row``, whatever they are.
     """
-    if length < 40:
-        raise ValueError("length must be at least 40")
+    if length < 64:
+        raise ValueError("length must be at least 64")
     rule, raw = Rule(length), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_no"), F.struct(F.xxhash64(raw).alias("x"), F.substring(F.md5(raw), 1, 16).alias("y")).alias("sign"), F.octet_length(raw).cast("long").alias("n_bytes"))
     rows = materialise(rows, "suffix-rows")

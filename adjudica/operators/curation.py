@@ -55,16 +55,42 @@ def gram_hits(texts: DataFrame, key: str, text: str, index: DataFrame, n: int =
 
 
 def index_digest(index: DataFrame) -> DataFrame:
-    """(grams, digest): the number of grams, and the sha256 over all grams in order, each with its key.
+    """(grams, digest): the number of grams, and a sha256 over all grams, each with its key.
 
-    Grams are dealt to 256 parts by their own sha256; a part is the sha256 of its sorted lines 'gram<tab>key', and the digest
-    that of the parts in order.  So no task sorts the whole index, and a gram or key that changes changes the digest.
+    A line 'gram<tab>key' counts by its own sha256, cut into four numbers of 52 bits.  Lines are added up in 256 parts, by the
+    first digits of their hash, and the digest is that of the parts' numbers in order.  Adding needs no order and combines
+    before rows move, so however large the index is, 256 short rows meet; a gram or a key that changes changes the digest.
     """
-    line = F.concat_ws("\t", "gram", F.col("first_key").cast("string"))
-    parts = index.groupBy(F.substring(F.sha2("gram", 256), 1, 2).alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(line)).alias("lines"))
-    digests = parts.select("part", "n", F.sha2(F.array_join("lines", "\n"), 256).alias("d"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: F.concat(x["part"], x["d"]))
-    return digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("grams"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+    hashed = index.select(F.sha2(F.concat_ws("\t", "gram", F.col("first_key").cast("string")), 256).alias("h"))
+    number = lambda k: F.conv(F.substring("h", 1 + 13 * k, 13), 16, 10).cast("decimal(20,0)")
+    parts = hashed.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count("*").alias("n"), *[F.sum(number(k)).cast("string").alias(f"s{k}") for k in range(4)])
+    lines = parts.select("n", F.concat_ws(":", "part", F.col("n").cast("string"), "s0", "s1", "s2", "s3").alias("line"))
+    return lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("grams"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n").cast("binary"), 256).alias("digest"))
+
+
+class BankError(ValueError):
+    """An exclusion bank that would let contaminated texts through."""
+
+
+def covered_index(bank: DataFrame, index: DataFrame, key: str, phase: str, required: list[str], n: int = 8) -> DataFrame:
+    """``index`` (gram, first_key), if the bank behind it covers what it must; else an error, as a run over a bank with a gap
+    would pass texts that it should stop.
+
+    ``bank`` has one row a text: ``key``, ``phase`` and ``words`` (its tokens).  Errors: an index without grams, a required phase of
+    which no text has ``n`` words, a text whose grams the index does not have.  At most the required phases' counts and one
+    key reach the driver.
+    """
+    if not index.limit(1).count():
+        raise BankError("the index has no grams")
+    long = bank.where(F.size("words") >= n)
+    there = {r[0] for r in long.where(F.col(phase).isin(required)).groupBy(phase).count().collect()}
+    if missing := [p for p in required if p not in there]:
+        raise BankError(f"no texts of {', '.join(missing)}")
+    grams = long.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")))).alias("gram"))
+    lost = grams.join(index.select("gram"), "gram", "left_anti").select(key).limit(1).collect()
+    if lost:
+        raise BankError(f"the index lacks grams of {lost[0][0]}")
+    return index
 
 
 def first_wins(texts: DataFrame, key: str, norm_key: Column) -> DataFrame:

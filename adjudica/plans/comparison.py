@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions.answers import decision_label, rounded
-from adjudica.functions.intervals import clopper_pearson, newcombe, poisson_binomial_sf, wilson
+from adjudica.functions.intervals import clopper_pearson, newcombe, wilson
 from adjudica.operators import pairing as op
+from adjudica.operators.convolution import at_least, sums_of_trials
 from adjudica.operators.ranking import holm, order_statistics, spearman
 from adjudica.plans.decisions import choices, decisions
 from adjudica.registry import query
@@ -235,9 +236,9 @@ k AS (SELECT run, phase, CAST(sum(gt) AS BIGINT) AS k, max(i) AS i FROM a GROUP
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance of as many toxic labels or more as there are, if each answer's probability were right."""
     answers = tables.binary(spark, sf_dir).where("qid = 'toxic' AND NOT err")
-    folded = answers.groupBy("run", "phase", "value").agg(F.count("*").alias("n"), F.sum("gt").alias("k"))
-    by_phase = folded.groupBy("run", "phase").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("x"), F.sum("k").alias("k"))
-    return by_phase.select("run", "phase", "k", rounded(F.least(F.lit(1.0), poisson_binomial_sf("x.value", "x.n", "k"))).alias("p"))
+    seen = answers.groupBy("run", "phase").agg(F.sum("gt").alias("k"))
+    sums = sums_of_trials(answers, ["run", "phase"], "value").join(seen, ["run", "phase"])
+    return sums.select("run", "phase", "k", rounded(at_least(F.col("low"), F.col("mass"), F.col("k"))).alias("p"))
 
 
 @query(VIEWS + """, o AS (SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY run) AS n FROM v_records WHERE NOT err)

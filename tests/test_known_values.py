@@ -4,11 +4,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adjudica.functions import answers, intervals, text
 from adjudica.operators import curation, fusion, pairing, ranking
+from adjudica.operators.convolution import at_least, sums_of_trials
 from adjudica.plans import calibration, comparison
 from adjudica.sources import documents
 
@@ -61,10 +63,49 @@ def test_clopper_pearson(spark):
 
 
 def test_poisson_binomial(spark):
-    rows = spark.createDataFrame([([0.5], [3], 2), ([0.5], [3], 0), ([0.2, 0.5, 0.7], [1, 1, 1], 2), ([0.0, 1.0], [4, 2], 2)], "p array<double>, n array<long>, k long")
-    found = [r[0] for r in rows.select(intervals.poisson_binomial_sf("p", "n", "k")).collect()]
+    groups = {"a": ([0.5] * 3, 2), "b": ([0.5] * 3, 0), "c": ([0.2, 0.5, 0.7], 2), "d": ([0.0] * 4 + [1.0] * 2, 2), None: ([0.25, None, 0.5], 3)}
+    trials = spark.createDataFrame([(g, p) for g, (ps, _) in groups.items() for p in ps], "g string, p double")
+    asked = spark.createDataFrame([(g, k) for g, (_, k) in groups.items()], "h string, k long")
+    sums = sums_of_trials(trials, ["g"], "p").join(asked, F.col("g").eqNullSafe(F.col("h")))
+    found = {r["g"]: r["sf"] for r in sums.select("g", at_least(F.col("low"), F.col("mass"), F.col("k")).alias("sf")).collect()}
     brute = sum(math.prod(p if hit else 1 - p for p, hit in zip((0.2, 0.5, 0.7), hits, strict=True)) for hits in itertools.product((0, 1), repeat=3) if sum(hits) >= 2)
-    assert found == pytest.approx([0.5, 1.0, brute, 1.0])
+    assert [found[g] for g in groups] == pytest.approx([0.5, 1.0, brute, 1.0, 0.0])
+
+
+def test_poisson_binomial_of_many_trials(spark):
+    trials = spark.range(40_000).select(F.lit(1).alias("g"), (F.col("id") % 997 / 1000).alias("p"))
+    row = sums_of_trials(trials, ["g"], "p").first()
+    ps = np.array([k % 997 / 1000 for k in range(40_000)])
+    mean, spread = ps.sum(), math.sqrt((ps * (1 - ps)).sum())
+    mass = np.array(row["mass"])
+    assert len(mass) < 30 * spread and mass.sum() == pytest.approx(1)  # as wide as its spread, not as its trials
+    assert (mass * (row["low"] + np.arange(len(mass)))).sum() == pytest.approx(mean)
+    exact = np.ones(1)
+    for p, n in zip(*np.unique(ps, return_counts=True), strict=True):
+        one = np.ones(1)
+        for _ in range(n):
+            one = np.convolve(one, [1 - p, p])
+        exact = np.fft.irfft(np.fft.rfft(exact, 1 << 16) * np.fft.rfft(one, 1 << 16), 1 << 16)
+    assert np.abs(mass - exact[row["low"] : row["low"] + len(mass)]).max() < 1e-12
+
+
+def test_bank_with_a_gap_is_refused(spark):
+    bank = spark.createDataFrame([(1, "a", "u v w".split()), (2, "b", "x y".split()), (3, "b", "k".split())], "key int, phase string, words array<string>")
+    index = spark.createDataFrame([("u v", 1), ("v w", 1), ("x y", 2)], "gram string, first_key int")
+    assert curation.covered_index(bank, index, "key", "phase", ["a", "b"], n=2).count() == 3
+    with pytest.raises(curation.BankError, match="no texts of c"):
+        curation.covered_index(bank, index, "key", "phase", ["a", "b", "c"], n=2)
+    with pytest.raises(curation.BankError, match="lacks grams of 2"):
+        curation.covered_index(bank, index.where("gram <> 'x y'"), "key", "phase", ["a", "b"], n=2)
+    with pytest.raises(curation.BankError, match="no grams"):
+        curation.covered_index(bank, index.limit(0), "key", "phase", ["a"], n=2)
+
+
+def test_index_digest_sees_every_change(spark):
+    rows = [(f"g{k}", k % 7) for k in range(500)]
+    digest = lambda r: tuple(curation.index_digest(spark.createDataFrame(r, "gram string, first_key long")).first())
+    assert digest(rows) == digest(rows[::-1]) and digest(rows)[0] == 500
+    assert len({digest(rows), digest(rows[1:]), digest([("g0", 1), *rows[1:]]), digest([("G0", 0), *rows[1:]])}) == 4
 
 
 def test_newcombe(spark):
