@@ -12,8 +12,9 @@ A position is removed if a string of ``length`` bytes that covers it starts anyw
 3. *Adjacent prefixes.*  A cut's longest match is one of its two neighbours in that order, so comparing neighbours tells of
    each position from the cut to the next whether its ``length`` bytes occur elsewhere.
 4. *Merging the others.*  What begins before the first cut of a match (its ragged left edge) is known by (bytes up to the
-   cut, as many bytes after it as are missing): cuts that have both alike are one class, and where cuts of one key have
-   several classes, their positions are merged by that pair, counted before rows move.
+   cut, as many bytes after it as are missing): cuts that have both alike are one class.  Where cuts of one key have
+   several classes, their positions are tried in stretches of doubling length: hashes of what is before and after the cut
+   tell of most stretches that none or all of it can match, and of the rest each position is merged by that pair.
 
 Equal texts are one text of which every byte goes.  Texts longer than a block are cut in overlapping blocks.
 """
@@ -35,9 +36,8 @@ from adjudica.llm.suffix_array import BASE, suffix_ranks
 LENGTH = 400
 #: Bytes of a cut's hash; bytes of text handled at a time; suffixes whose neighbours are compared in one run.
 GRAM, BLOCK, BUCKET = 8, 1 << 19, 8192
-#: Stretches that repeat themselves after so many bytes or fewer are known without the suffix array; and the sizes of
-#: what stands before a cut that are tried before all positions there are.
-PERIODS, SIZES = 32, (2, 8, 32)
+#: Stretches that repeat themselves after so many bytes or fewer are known without the suffix array.
+PERIODS = 32
 #: Cuts, spans or rows of them that may be broadcast, at 16 bytes or fewer each.
 BROADCAST_CUTS = 4_000_000
 
@@ -139,7 +139,7 @@ class Block(Sums):
             self.cut |= wanted & marks
         self.periodic = list(self._periodic())
         for begin, end, q in self.periodic:
-            self.cut[begin + rule.reach[0] + q : max(0, end - rule.length - q + 1)] = False
+            self.cut[begin + rule.reach[0] + 2 * q : max(0, end - rule.length - q + 1)] = False
         self.cuts = np.flatnonzero(self.cut)
         self.text_of = of[self.cuts]
 
@@ -235,19 +235,29 @@ def _texts(batch: pa.RecordBatch, *extra: str) -> list[tuple[object, bytes]]:
 
 
 def _cut_keys(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(row_no, at, key): every cut that has ``rule.least`` bytes after it, and their hash."""
+    """(row_no, at, key, to): every cut that has ``rule.least`` bytes after it, and their hash; and, without a key, positions
+    ``at`` to ``to`` whose ``length`` bytes occur again a short period away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, about in blocks(_texts(batch), rule):
                 row, place, owned = _owned(block, about, np.array([x[0] for x in about], np.int64))
                 owned &= block.cuts + rule.least <= block.ends[block.text_of]
-                yield pa.RecordBatch.from_pydict({"row_no": row[owned], "at": place[owned], "key": block.hashes(block.cuts[owned], rule.least)})
+                n, again = int(owned.sum()), []
+                for begin, end, _ in block.periodic:
+                    tag, a, *_ = about[t := int(np.searchsorted(block.ends, begin, "right"))]
+                    shift = a - int(block.starts[t])
+                    again.append((tag, begin + shift, end - rule.length + shift))
+                own = np.array(again, np.int64).reshape(-1, 3)
+                none = np.arange(n + len(own)) >= n
+                both = lambda x, k: np.concatenate([x, own[:, k]])  # noqa: B023, E731
+                keys = np.concatenate([block.hashes(block.cuts[owned], rule.least), np.zeros(len(own), np.int64)])
+                yield pa.RecordBatch.from_pydict({"row_no": both(row[owned], 0), "at": both(place[owned], 1), "key": pa.array(keys, mask=none), "to": pa.array(both(place[owned], 2), mask=~none)})
 
-    return texts.mapInArrow(run, "row_no long, at long, key long")
+    return texts.mapInArrow(run, "row_no long, at long, key long, to long")
 
 
-_PARTS = "row_no long, at long, span long, rest long, part binary, key long, full long, more binary, first long, last long, free boolean, lead long, " + ", ".join(f"s{k} int" for k in SIZES)
+_PARTS = "row_no long, at long, span long, rest long, part binary, key long, full long, more binary, first long, last long, free boolean, lead long"
 
 
 def _parts(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -284,27 +294,11 @@ def _parts(texts: DataFrame, rule: Rule) -> DataFrame:
                     "key": pa.array(block.hashes(at, np.where(short, 0, rule.least)), mask=short), "full": block.hashes(at, np.minimum(rest, rule.length)),
                     "more": cut_out(np.minimum(at + rule.length, stop), np.minimum(to + rule.length - 1, stop)),
                     "first": first + shift, "last": last + shift, "free": free, "lead": block.hashes(at - lead, lead),
-                } | {f"s{k}": pa.array(block.hashes(at - np.minimum(k, lead), np.minimum(k, lead)).astype(np.int32), mask=lead < k) for k in SIZES})
+                })
 
     return texts.mapInArrow(run, _PARTS)
 
 
-def _periodic_spans(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(row_no, a, b): positions of ``texts`` whose ``length`` bytes occur again a short period away."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, about in blocks(_texts(batch), rule):
-                found = []
-                for begin, end, _ in block.periodic:
-                    row, a, *_ = about[t := int(np.searchsorted(block.ends, begin, "right"))]
-                    shift = a - int(block.starts[t])
-                    found.append((row, begin + shift, end - rule.length + shift))
-                yield _spans(found)
-
-    return texts.mapInArrow(run, "row_no long, a long, b long")
-
-
 def _strings(named: DataFrame) -> DataFrame:
     """(row_no, ats, syms, spans): the runs of cuts that follow each other, of rows (row_no, at, span, named)."""
     listed = named.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("at", "span", "named"))).alias("s"))
@@ -366,33 +360,72 @@ def _spans(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[:, k]) for k in range(3)], names=["row_no", "a", "b"])
 
 
+def _edges_of(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[Sums, dict[str, np.ndarray], np.ndarray]]:
+    """The ``edges`` (at, first, last) of texts (row_no, text, edges), about a block at a time: hashes of the bytes from each
+    edge's first position on, its numbers, and where it begins there."""
+    held: list[tuple[int, int, int, int, bytes]] = []
+    size = 0
+    names = ("row_no", "at", "first", "last")
+
+    def made() -> tuple[Sums, dict[str, np.ndarray], np.ndarray]:
+        block = Sums([x[4] for x in held])
+        return block, {n: np.array([x[k] for x in held], np.int64) for k, n in enumerate(names)}, block.starts
+
+    for row, text, edges in zip(*(batch.column(c).to_pylist() for c in ("row_no", "text", "edges")), strict=True):
+        raw = text.encode("utf-8", "surrogatepass")
+        for e in edges:
+            last = min(e["last"], len(raw) - rule.length, e["at"] - 1)
+            if last >= e["first"]:
+                held.append((row, e["at"], e["first"], last, raw[e["first"] : e["at"] + rule.length]))
+                size += len(held[-1][4])
+            if size >= BLOCK:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
+
+
+def _edge_levels(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(row_no, at, a, b, may, must): the positions a to b of each edge that are ``k`` to ``2 k - 1`` bytes before its cut, for k = 1, 2, 4,
+    ..., with two hashes.  If a position of two cuts has its ``length`` bytes in common, their cuts have ``may`` in common: the last k
+    bytes before and the ``length - 2 k + 1`` after.  If they have ``must`` in common, all those positions of theirs have: the 2 k - 1
+    bytes before and ``length - k`` after (null: the edge or the text has fewer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, e, begin in _edges_of(batch, rule):
+                far, near, cut = e["at"] - e["first"], e["at"] - e["last"], begin + e["at"] - e["first"]
+                k = 1
+                while k <= far.max():
+                    s = np.flatnonzero((far >= k) & (near < 2 * k))
+                    top, c, left = np.minimum(far[s], 2 * k - 1), cut[s], block.ends[s] - cut[s]
+                    may = _paired(block.hashes(c - k, k), block.hashes(c, np.minimum(max(0, rule.length - 2 * k + 1), left)))
+                    fits = (far[s] >= 2 * k - 1) & (left >= rule.length - k) & (k <= rule.length)
+                    must = _paired(block.hashes(np.where(fits, c - 2 * k + 1, c), np.where(fits, 2 * k - 1, 0)), block.hashes(c, np.where(fits, max(0, rule.length - k), 0)))
+                    yield pa.RecordBatch.from_pydict({
+                        "row_no": e["row_no"][s], "at": e["at"][s], "a": e["at"][s] - top, "b": np.minimum(e["at"][s] - k, e["last"][s]),
+                        "may": may, "must": pa.array(must, mask=~fits),
+                    })
+                    k *= 2
+
+    return texts.mapInArrow(run, "row_no long, at long, a long, b long, may long, must long")
+
+
+def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _mix(x.view(np.uint64) * _U(3) + y.view(np.uint64)).view(np.int64)
+
+
 def _edge_windows(texts: DataFrame, rule: Rule) -> DataFrame:
     """(row_no, a, lead, tail): each position of the ``edges`` (at, first, last) of ``texts`` (row_no, text, edges), with the hashes of
     its bytes up to the cut and of those after it that make up ``length``."""
 
-    def made(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-        block = Sums([x[4] for x in held])
-        row, at, first, last = (np.array([x[k] for x in held], np.int64) for k in range(4))
-        n = np.maximum(0, last - first + 1)
-        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p, size = np.repeat(block.starts, n) + own, np.repeat(at - first, n) - own
-        return pa.RecordBatch.from_pydict({"row_no": np.repeat(row, n), "a": np.repeat(first, n) + own, "lead": block.hashes(p, size), "tail": block.hashes(p + size, rule.length - size)})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for row, text, edges in zip(*(batch.column(c).to_pylist() for c in ("row_no", "text", "edges")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for e in edges:
-                    last = min(e["last"], len(raw) - rule.length)
-                    if last >= e["first"]:
-                        held.append((row, e["at"], e["first"], last, raw[e["first"] : last + rule.length]))
-                        size += len(held[-1][4])
-                    if size >= BLOCK:
-                        yield made(held)
-                        held, size = [], 0
-            if held:
-                yield made(held)
+            for block, e, begin in _edges_of(batch, rule):
+                n = e["last"] - e["first"] + 1
+                own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                p, size = np.repeat(begin, n) + own, np.repeat(e["at"] - e["first"], n) - own
+                yield pa.RecordBatch.from_pydict({"row_no": np.repeat(e["row_no"], n), "a": np.repeat(e["first"], n) + own, "lead": block.hashes(p, size), "tail": block.hashes(p + size, rule.length - size)})
 
     return texts.mapInArrow(run, "row_no long, a long, lead long, tail long")
 
@@ -411,9 +444,11 @@ def _shared(classes: DataFrame, by: list[str]) -> DataFrame:
 def _repeated(texts: DataFrame, rule: Rule, base: int) -> DataFrame:
     """(row_no, a, b): positions of different ``texts`` (row_no, text) whose ``length`` bytes occur elsewhere."""
     cuts = materialise(_cut_keys(texts, rule), "suffix-cuts")
-    n_cuts = cuts.count()
-    twice = materialise(cuts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-keys")
-    wanted = join_folded(cuts, twice, ["key"], n_cuts).groupBy("row_no").agg(F.collect_list("at").alias("cuts"))
+    keyed = cuts.where("key IS NOT NULL").select("row_no", "at", "key")
+    periodic = materialise(cuts.where("key IS NULL").select("row_no", F.col("at").alias("a"), F.col("to").alias("b")), "suffix-periodic")
+    n_cuts = keyed.count()
+    twice = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-keys")
+    wanted = join_folded(keyed, twice, ["key"], n_cuts).groupBy("row_no").agg(F.collect_list("at").alias("cuts"))
     wanted = materialise(wanted, "suffix-wanted")
     release(cuts, twice)
     held = wanted.agg(F.sum(F.size("cuts"))).first()[0] or 0
@@ -422,7 +457,7 @@ def _repeated(texts: DataFrame, rule: Rule, base: int) -> DataFrame:
     release(wanted)
     edges = _edge_matches(texts, parts, n_cuts, rule)
     release(parts)
-    return matches.unionByName(edges).unionByName(_periodic_spans(texts, rule))
+    return matches.unionByName(edges).unionByName(periodic)
 
 
 def _suffix_matches(parts: DataFrame, rule: Rule, base: int) -> DataFrame:
@@ -444,7 +479,7 @@ def _edge_matches(texts: DataFrame, parts: DataFrame, n_cuts: int, rule: Rule) -
     """What begins before the first cut of a match: the positions of classes, and those that several classes share."""
     known = parts.where("key IS NOT NULL AND first <= last")
     last = F.least("last", F.col("at") + F.col("rest") - rule.length)
-    member = F.struct("row_no", "at", "first", last.alias("last"), *[f"s{k}" for k in SIZES])
+    member = F.struct("row_no", "at", "first", last.alias("last"))
     classes = known.groupBy("key", "lead", "full").agg(F.min(member).alias("m"), F.max("free").alias("free"), F.count("*").alias("n"))
     classes = materialise(classes, "suffix-classes")
     # members of a class that nothing but the class ties to each other
@@ -455,24 +490,35 @@ def _edge_matches(texts: DataFrame, parts: DataFrame, n_cuts: int, rule: Rule) -
 
     n_classes = classes.count()
     several = materialise(_shared(classes, ["key"]).where("shared").select("key", "n"), "suffix-several")
-    edges = join_folded(classes.withColumnRenamed("n", "members"), several, ["key"], n_classes)
-    edges = materialise(edges.select("key", "lead", "free", "members", "m.*").withColumn("reach", F.lit(SIZES[0])), "suffix-edges")
+    edges = join_folded(classes.withColumnRenamed("n", "members"), several, ["key"], n_classes).select("m.*").where("first <= last")
+    edge = F.struct("at", "first", "last")
+    lists = edges.groupBy("row_no").agg(F.collect_list(edge).alias("edges"), F.count("*").alias("c"))
+    lists = materialise(lists, "suffix-edge-lists")
     release(classes, several)
-    for k, more in zip(SIZES, (*SIZES[1:], rule.length), strict=True):  # how far before the cut another class can agree
-        before, alike = edges, materialise(_shared(edges, ["key", f"s{k}"]), "suffix-shared")
-        reach = F.when(F.col("shared") & F.col(f"s{k}").isNotNull(), more).otherwise(F.col("reach"))
-        edges = join_folded(edges, alike, ["key", f"s{k}"], n_classes).withColumn("reach", reach).drop("n", "shared")
-        edges = materialise(edges, "suffix-edges")
-        release(before, alike)
-    edge = F.struct("at", F.greatest("first", F.col("at") - F.col("reach") + 1).alias("first"), "last")
-    lists = edges.where("first <= last").groupBy("row_no").agg(F.collect_list(edge).alias("edges"), F.count("*").alias("c"))
+    held = lists.agg(F.sum("c")).first()[0] or 0
+    levels = materialise(_edge_levels(_of_texts(texts, lists.drop("c"), 3 * held), rule), "suffix-levels")
+    release(lists)
+    n_levels = levels.count()
+    twice = lambda by: materialise(levels.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).where("n > 1"), "suffix-twice")
+    may, must = twice("may"), twice("must")
+    possible = join_folded(levels, may, ["may"], n_levels).drop("n")
+    possible = materialise(possible, "suffix-possible")
+    sure = join_folded(possible.where("must IS NOT NULL"), must, ["must"], n_levels).select("row_no", "at", "a", "b")
+    sure = materialise(sure, "suffix-sure")
+    release(levels, may, must)
+    # the others one by one
+    flagged = possible.join(small(sure.select("row_no", "at", "a", F.lit(True).alias("sure"))), ["row_no", "at", "a"], "left")
+    flagged = materialise(flagged.select("row_no", "at", "a", "b", "may", F.coalesce("sure", F.lit(False)).alias("sure")), "suffix-flagged")
+    unsure = flagged.groupBy("may").agg(F.min("sure").alias("all"), F.count("*").alias("n")).where("NOT all").select("may", "n")
+    left = join_folded(flagged, materialise(unsure, "suffix-unsure"), ["may"], n_levels)  # the sure ones too, as they can be another's match
+    lists = left.groupBy("row_no").agg(F.collect_list(F.struct("at", F.col("a").alias("first"), F.col("b").alias("last"))).alias("edges"), F.count("*").alias("c"))
     lists = materialise(lists, "suffix-edge-lists")
     held = lists.agg(F.sum("c")).first()[0] or 0
     windows = materialise(_edge_windows(_of_texts(texts, lists.drop("c"), 3 * held), rule), "suffix-windows")
     again = materialise(windows.groupBy("lead", "tail").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
     merged = join_folded(windows, again, ["lead", "tail"], windows.count()).select("row_no", "a", F.col("a").alias("b"))
-    merged = materialise(merged, "suffix-merged")
-    release(edges, lists, windows, again)
+    merged = materialise(merged.unionByName(sure.select("row_no", "a", "b")), "suffix-merged")
+    release(possible, flagged, sure, lists, windows, again)
     return merged.unionByName(free)
 
 

@@ -47,7 +47,7 @@ def mixed_texts(seed: int, length: int, alphabet: str) -> list[str | None]:
     return [*texts, None, "", texts[3], texts[5][:-1], texts[7] + "z"]
 
 
-@pytest.mark.parametrize(("seed", "length", "alphabet"), [(1, 40, "ab"), (2, 64, "abcdefghijklmnopqrstuvwxyz é"), (3, 400, "abcdefgh")])
+@pytest.mark.parametrize(("seed", "length", "alphabet"), [(1, 65, "ab"), (2, 64, "abcdefghijklmnopqrstuvwxyz é"), (3, 400, "abcdefgh")])
 def test_against_brute_force(spark, seed, length, alphabet):
     texts = mixed_texts(seed, length, alphabet)
     assert found(spark, texts, length=length, base=50) == brute(texts, length)
@@ -75,7 +75,7 @@ def test_nothing_is_broadcast_beyond_the_bound(spark, monkeypatch):
 def test_edges(spark):
     assert found(spark, []) == []
     assert [x[:3] for x in found(spark, [None, "", "short", "short"])] == [(0, 0, 0), (0, 0, 0), (5, 0, 0), (5, 0, 0)]
-    with pytest.raises(ValueError, match="at least 40"):
+    with pytest.raises(ValueError, match="at least 64"):
         suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=10)
 
 
