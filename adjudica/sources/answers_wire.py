@@ -81,7 +81,7 @@ def strict_answers(bodies: DataFrame, questions: DataFrame, key: list[str]) -> D
     parts = F.transform(F.try_variant_get(said, "$", "array<variant>"), lambda p: F.struct(_at(p, "$.value", "string").alias("value"), _within(_at(p, "$.probability"), 0.0, 1.0).alias("fits"), _at(p, "$.probability", "double").alias("p")))
     answers = answers.withColumns({"given": given, "refusal": refusal, "parts": parts})
     values = F.transform("parts", lambda p: p["value"])
-    vector, scalar = kind.isin("choice", "score"), F.lit(True)
+    vector = kind.isin("choice", "score")
     confidence = _at(a, "$.confidence")
     rules = [
         ("missing", a.isNull()),
@@ -95,7 +95,7 @@ def strict_answers(bodies: DataFrame, questions: DataFrame, key: list[str]) -> D
         ("repeated value", vector & (F.size(F.array_distinct(values)) < F.size(values))),
         ("probability", vector & F.exists("parts", lambda p: ~p["fits"])),
         ("labels", vector & (F.sort_array(values) != F.sort_array(labels))),
-        ("confidence", scalar & confidence.isNotNull() & ~_within(confidence, 0.0, 1.0)),
+        ("confidence", confidence.isNotNull() & ~_within(confidence, 0.0, 1.0)),
     ]
     reason = reduce(lambda c, r: c.when(r[1], F.lit(r[0])), rules, F.when(F.lit(False), F.lit(None).cast("string")))
     answers = answers.withColumn("reason", reason)
