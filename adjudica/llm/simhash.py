@@ -132,10 +132,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = rows.select(F.col("raw_hash").alias("node"), "text")
         rows = materialise(rows.select("doc_id", "raw_hash", near_copies.sketches(F.col("text"), shingle).alias("s")).select("doc_id", "raw_hash", "s.*"), "simhash-rows")
         node = "raw_hash"
-        classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("fingerprint").alias("fingerprint")), "simhash-classes")
+        classes = materialise(rows.groupBy(node).agg(first, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("keys", "fingerprint", "size", "minima")]), "simhash-classes")
         possible = lambda differ: _within_budgets(differ, near_copies.MOST) & (F.bit_count(differ) <= near_copies.MOST)
-        roots = near_copies.similar_roots(texts, classes.select(F.col(node).alias("node"), "keys", "fingerprint"), possible, shingle, similarity)
-        rows = rows.drop("keys")
+        roots = near_copies.similar_roots(texts, classes.select(F.col(node).alias("node"), "keys", "fingerprint", "size", "minima"), possible, shingle, similarity, crowd=crowd)
+        rows = rows.drop("keys", "size", "minima")
     rooted = classes.select(node, "first", "n").join(roots.withColumnRenamed("u", node), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of_class = materialise(rooted.select(node, "root", "n").join(least, "root").select(node, "least", "n"), "simhash-roots")

@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
-from adjudica.llm import simhash
+from adjudica.llm import near_copies, simhash
 from tests.llm.conftest import EN, SCHEMA, prose, row
 from tests.llm.test_simhash import roots
 
@@ -39,6 +41,42 @@ def test_stage_drops_all_near_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "unused").collect()) == wanted
 
 
+def slotted(rng, n, slots=17, words=10):
+    """Texts of slots with two wordings each, and the links: pairs that differ in one slot have 0.8 or more, all others less."""
+    wordings = [[" ".join(f"{'ab'[k]}{slot}x{i}" for i in range(words)) for k in (0, 1)] for slot in range(slots)]
+    masks = rng.sample(range(1 << slots), n)
+    at = {m: i for i, m in enumerate(masks)}
+    texts = [" ".join(wordings[slot][m >> slot & 1] for slot in range(slots)) for m in masks]
+    return texts, [(i, at[m ^ 1 << slot]) for i, m in enumerate(masks) for slot in range(slots) if m < m ^ 1 << slot and m ^ 1 << slot in at]
+
+
+@pytest.mark.parametrize("n", [600, 7000])
+def test_no_link_is_lost_in_crowded_keys(spark, n):
+    texts, links = slotted(random.Random(n), n)
+    if n < 1000:
+        sets = [plain_set(t) for t in texts]
+        assert sorted(tuple(sorted(p)) for p in links) == [(i, j) for i, j in itertools.combinations(range(n), 2) if similar(sets[i], sets[j])]
+    wanted = roots(range(n), links)
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, shingle=5, similarity=0.8).collect()}
+    assert found == wanted
+
+
+@pytest.mark.parametrize("rows", [7])
+def test_blocks_hold_all_links(spark, monkeypatch, rows):
+    """Small blocks and crowds: every key goes through tasks of two blocks, across size classes too."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", rows)
+    rng = random.Random(rows)
+    texts = slotted(rng, 60, slots=9, words=14)[0]
+    base = prose(rng, EN, 100).split()
+    texts += [" ".join(base[: 100 - k]) for k in range(0, 60, 2)]
+    sets = [plain_set(t) for t in texts]
+    wanted = roots(range(len(sets)), [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if similar(sets[i], sets[j])])
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, shingle=5, similarity=0.8, crowd=1).collect()}
+    assert found == wanted
+
+
 def test_odd_rows(odd, odd_rows, empty):
     sets = [plain_set(r[1]) for r in odd_rows]
     linked = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if similar(sets[i], sets[j])]
