@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("curation", "text", "scoring", "calibration", "comparison", "resampling", "fusion", "audit", "wire", "state", "files", "gates", "studies", "checks", "matching", "storage", "contracts", "decided", "review")
+_MODULES = ("curation", "text", "scoring", "calibration", "comparison", "resampling", "fusion", "audit", "wire", "state", "files", "gates", "studies", "checks", "matching", "storage", "contracts", "decided", "review", "archives")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
