@@ -71,7 +71,7 @@ def _chained(parts: Iterable[np.ndarray], start: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashed shingles, sorted.  A text of fewer words is one shingle, and so is one without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and ASCII white space only
-    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     size = min(shingle, len(words))
     n = len(words) - size + 1
     return np.unique(_chained((hashes[k : k + n] for k in range(size)), np.full(n, size, np.uint64)))
@@ -96,11 +96,15 @@ def sketches(text: Column, shingle: int) -> Column:
 
     @F.pandas_udf("keys array<long>, fingerprint long, size long, minima binary")
     def made(texts: pd.Series) -> pd.DataFrame:
-        own = [shingles(t, shingle) for t in texts]
-        prints = np.array([majority(s) for s in own], np.uint64).view(np.int64)
-        least = [minima(s) for s in own]
-        short = [_mix(m).astype("<u2").tobytes() for m in least]
-        return pd.DataFrame({"keys": [band_keys(m).view(np.int64) for m in least], "fingerprint": prints, "size": [len(s) for s in own], "minima": short})
+        keys, prints, sizes, short = [], [], [], []
+        for text in texts:  # one set at a time
+            own = shingles(text, shingle)
+            least = minima(own)
+            keys.append(band_keys(least).view(np.int64))
+            prints.append(majority(own))
+            sizes.append(len(own))
+            short.append(_mix(least).astype("<u2").tobytes())
+        return pd.DataFrame({"keys": keys, "fingerprint": np.array(prints, np.uint64).view(np.int64), "size": np.array(sizes, np.int64), "minima": short})
 
     return made(text)
 
