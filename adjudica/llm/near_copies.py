@@ -11,7 +11,8 @@ against the key's least.  Keys whose texts that leaves in several components go
 all pairs between components are held against the rule; of a larger one, each text outside the component of a *hub* is held
 against the hub, hubs being the texts with most links so far, ``HUBS`` of them in each of ``ROUNDS_OF_HUBS`` rounds.  Copies of one
 original all link to it, so it becomes a hub.  What crowded keys still hold in several components is then compared to the end,
-by :func:`crossed_links`: no link between texts that share a key is lost, however many share it.
+by :func:`crossed_links`: no link between texts that share a key is lost by the number of texts that share it.  What remains are
+the chances stated at ``MOST`` and ``AGREE``, at any size.
 """
 
 from __future__ import annotations
