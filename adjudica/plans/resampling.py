@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.functions.answers import rounded
-from adjudica.operators.resampling import percentile_interval, resampled
+from adjudica.operators.resampling import percentile_interval, replicate_sums, resampled
 from adjudica.operators.scoring import case_means
 from adjudica.plans.decisions import decisions
 from adjudica.plans.scoring import PHASES, universe
@@ -53,7 +53,7 @@ _UNITS = ", units AS (SELECT phase, case_id, cluster_id, avg(CASE WHEN run = 0 T
 @query(VIEWS + ", v_means AS (SELECT run, case_id, avg(point) * 100 AS points FROM v_points WHERE NOT err GROUP BY ALL)" + _draws("v_means", "run", "case_id", 0) + ", reps AS (SELECT run, rep, avg(points) AS v FROM r_drawn GROUP BY ALL) " + _interval("v", "run", "reps"))
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = case_means(decisions(spark, sf_dir).where("NOT err")).select("run", "case_id", (F.col("points") * 100).alias("points"))
-    reps = resampled(units, "run", "case_id", REPLICATES, 0).groupBy("run", "rep").agg(F.avg("points").alias("v"))
+    reps = replicate_sums(units, "run", "case_id", ["points"], REPLICATES, 0).select("run", "rep", F.try_divide("sum_points", "count_points").alias("v"))
     return _shown(percentile_interval(reps, ["run"], "v", REPLICATES))
 
 
