@@ -60,8 +60,9 @@ def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gains(spark: SparkSession, sf_dir: str, seed: int) -> DataFrame:
     """(rep, g0, g1, g2): each replicate's adjusted score of each run, cases drawn within phases, all runs alike."""
     base = scoring.majority_baseline(universe(spark, sf_dir))
-    drawn = resampled(case_units(spark, sf_dir), "phase", "case_id", REPLICATES, seed)
-    by_phase = drawn.groupBy("rep", "phase").agg(*[(F.avg(f"p{r}") * 100).alias(f"p{r}") for r in tables.RUNS]).join(F.broadcast(base), "phase").where("base < 100")
+    points = [f"p{r}" for r in tables.RUNS]
+    drawn = replicate_sums(case_units(spark, sf_dir), "phase", "case_id", points, REPLICATES, seed)
+    by_phase = drawn.select("rep", "phase", *[(F.try_divide(f"sum_{p}", f"count_{p}") * 100).alias(p) for p in points]).join(F.broadcast(base), "phase").where("base < 100")
     return by_phase.groupBy("rep").agg(*[F.avg((F.col(f"p{r}") - F.col("base")) / (100 - F.col("base")) * 100).alias(f"g{r}") for r in tables.RUNS])
 
 

@@ -9,7 +9,7 @@ from adjudica.functions.answers import rounded
 from adjudica.functions.redaction import redacted
 from adjudica.operators import pairing
 from adjudica.operators.ranking import holm
-from adjudica.operators.resampling import hashed_uniform, percentile_interval, resampled
+from adjudica.operators.resampling import hashed_uniform, percentile_interval, replicate_sums, resampled
 from adjudica.plans.comparison import _DEPTH, SAID, _depth, _folded, cuts
 from adjudica.plans.curation import _GRAMS
 from adjudica.plans.decisions import choices, decisions
@@ -129,7 +129,7 @@ def seed_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     arm = lambda q: F.max(F.when(F.col("qid") == q, F.col("point")))
     arms = decisions(spark, sf_dir).where("qtype = 'noul' AND NOT err").groupBy("case_id", "run").agg(arm("quality").alias("a"), arm("toxic").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     each = arms.groupBy("case_id").agg(F.avg(F.col("b") - F.col("a")).alias("d"), F.count("*").alias("seeds")).withColumn("stratum", F.lit("all"))
-    reps = resampled(each.where(F.col("seeds") == len(tables.RUNS)), "stratum", "case_id", REPLICATES, 712).groupBy("rep").agg((F.avg("d") * 100).alias("v"))
+    reps = replicate_sums(each.where(F.col("seeds") == len(tables.RUNS)), "stratum", "case_id", ["d"], REPLICATES, 712).select("rep", (F.try_divide("sum_d", "count_d") * 100).alias("v"))
     flags = each.agg(F.count_if(F.col("seeds") == 3).alias("n"), F.bool_and(F.col("seeds") == 3).alias("complete")).withColumn("one", F.lit(1))
     return _shown(percentile_interval(reps, [], "v", REPLICATES)).withColumn("one", F.lit(1)).join(flags, "one").drop("one")
 

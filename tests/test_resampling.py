@@ -48,3 +48,17 @@ def test_sums_of_replicates(spark, monkeypatch, held):
 def test_no_units(spark):
     units = spark.createDataFrame([], "run int, case_id long, a double")
     assert resampling.replicate_sums(units, "run", "case_id", ["a"], 5, 0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bootstrap_mean", "adjusted_boot", "interaction_boot", "range_boot", "seed_delta"])
+def test_queries_fold_their_draws(name, spark, small, monkeypatch):
+    """Bootstraps of cases make no row for a draw (before, 2000 rows for each case)."""
+    from adjudica import registry
+    from adjudica.plans import resampling as plans, studies
+
+    def refuse(*args):
+        raise AssertionError("draws as rows")
+
+    monkeypatch.setattr(plans, "resampled", refuse)
+    monkeypatch.setattr(studies, "resampled", refuse)
+    assert registry.queries()[name](spark, small).count()
