@@ -75,6 +75,16 @@ def hashed_run(words: Column, n: int = 8) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
+def distinct_grams(words: Column, n: int = 8) -> Column:
+    """How many different runs of n words there are.
+
+    Hashes that all differ stand for runs that all differ; only where two are equal are the runs themselves compared.
+    """
+    whole = lambda w: F.size(F.array_distinct(grams(w, n)))
+    counted = lambda w: let(hashed_run(w, n), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.size(h)).otherwise(whole(w)))
+    return let(words, counted)
+
+
 def title_and_abstract(state: Column) -> Column:
     """'Title: ...' line and the text after 'Abstract:', joined by a space; the whole state where either is missing."""
     title = F.regexp_extract(state, r"(?m)^Title: (.*)$", 1)

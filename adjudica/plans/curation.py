@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.functions.answers import rounded
-from adjudica.functions.text import grams, normalised
+from adjudica.functions.text import distinct_grams, normalised
 from adjudica.operators import curation as op
 from adjudica.registry import query
 from adjudica.sources.tables import read
@@ -73,7 +73,8 @@ def bank_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GRAMS + "SELECT doc_id, count(DISTINCT gram) AS grams FROM g GROUP BY doc_id")
 def gram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = op.token_table(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return words.select("doc_id", F.size(F.array_distinct(grams(F.col("words")))).cast("long").alias("grams")).where("grams > 0")
+    some = F.filter(F.array(distinct_grams(F.col("words")).cast("long")), lambda n: n > 0)  # a filter on the count would have it made twice
+    return words.select("doc_id", F.explode(some).alias("grams"))
 
 
 @query(_GRAMS + "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, norm_key FROM t")
