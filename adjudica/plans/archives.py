@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.operators.folding import own_folder
+from adjudica.operators.folding import own_folder, spread
 from adjudica.registry import query
 from adjudica.sources.archives import read_archives, write_archives
 from adjudica.sources.tables import read
@@ -23,8 +23,8 @@ def archive_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(doc_id % 10 < 6, "train").when(doc_id % 10 < 8, "dev").otherwise("test")
     language = F.when(F.col("lang") == "en", "text_files_en").otherwise("text_files")
     ending = F.when(doc_id % 7 == 0, "ann").otherwise("txt")
-    docs = read(spark, sf_dir, "documents")
-    write_archives(docs.select(F.format_string("corpus/%s/%s/d%d.%s", split, language, doc_id, ending).alias("name"), "text").repartition(4, "name"), folder)
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))  # an archive for each part of the scan
+    write_archives(docs.select(F.format_string("corpus/%s/%s/d%d.%s", split, language, doc_id, ending).alias("name"), "text"), folder)
     found = read_archives(spark, folder, r"/(train|dev)/.*\.txt$", span=1 << 18)
     text = F.trim(F.col("text"), F.lit(BLANKS))
     named = found.select(F.element_at(F.split("name", "/"), -1).alias("name"), F.when(F.col("name").contains("/text_files_en/"), "en").otherwise("es").alias("lang"), text.alias("text"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adjudica.operators.folding import staged
 
@@ -21,7 +23,8 @@ SPAN, TASKS = 64 << 20, 10_000
 BATCH = 8 << 20
 
 
-_RANGES = pa.schema([("archive", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+_MEMBER = pa.struct([("name", pa.string()), ("offset", pa.int64()), ("packed", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("method", pa.int32()), ("flags", pa.int32())])
+_RANGES = pa.schema([("archive", pa.string()), ("low", pa.int64()), ("packed", pa.int64()), ("members", pa.list_(_MEMBER))])
 
 
 def _located(path: str) -> tuple[FileSystem, str]:
@@ -42,13 +45,46 @@ def _entries(archive: zipfile.ZipFile, wanted: re.Pattern) -> list[zipfile.ZipIn
     return sorted((e for e in archive.infolist() if not e.is_dir() and wanted.search(e.filename)), key=lambda e: e.header_offset)
 
 
+def _inflated(head: bytes, body: bytes, entry: dict) -> bytes:
+    """A member of its local header and the bytes behind it, checked against the directory's length and checksum."""
+    if head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"no local header of {entry['name']}")
+    skip = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+    raw = body[skip : skip + entry["packed"]]
+    if entry["method"] == zipfile.ZIP_DEFLATED:
+        inflater = zlib.decompressobj(-15)
+        raw = inflater.decompress(raw) + inflater.flush()
+    if len(raw) != entry["size"] or zlib.crc32(raw) != entry["crc"]:
+        raise zipfile.BadZipFile(f"bad length or CRC-32 of {entry['name']}")
+    return raw
+
+
+def _texts(path: str, entries: list[dict]) -> Iterator[str]:
+    """Texts of the listed members, from their own bytes; the archive's directory is read again only for members that are
+    encrypted or packed by a rarer method."""
+    files, inner = _located(path)
+    rare = {e["offset"] for e in entries if e["flags"] & 0x21 or e["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)}
+    with files.open_input_file(inner) as file, (zipfile.ZipFile(file) if rare else nullcontext()) as archive:
+        listed = {e.header_offset: e for e in archive.infolist()} if rare else {}
+        for entry in entries:
+            if entry["offset"] in rare:
+                raw = archive.read(listed[entry["offset"]])
+            else:
+                file.seek(entry["offset"])
+                head = file.read(30)
+                names = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                raw = _inflated(head, file.read(names + entry["packed"]), entry)
+            yield raw.decode("utf-8", "replace")
+
+
 def read_archives(spark: SparkSession, folder: str, wanted: str = "", *, span: int = SPAN) -> DataFrame:
     """(archive, low, name, text) for each member of the ``*.zip`` files below ``folder`` whose path the pattern ``wanted`` finds.
 
-    The archives' directories are read by tasks and give ranges of members of about ``span`` compressed bytes; ranges, not
-    archives, are the tasks of the read, so one huge archive is read by many.  Each member is read once, whole; bytes that are
-    not UTF-8 become U+FFFD.  Members of one name are all read; directories are no members; a damaged member ends the read
-    with an error.  ``low`` is the place of the member's range.
+    The archives' directories are read once, by tasks, and give ranges of members of about ``span`` compressed bytes, each
+    member with its place; ranges, not archives, are dealt to the tasks of the read, so one huge archive is read by many, and a
+    range is read without the directory.  Each member is read once, whole; bytes that are not UTF-8 become U+FFFD.  Members
+    of one name are all read; directories are no members; a damaged member ends the read with an error.  ``low`` is the place
+    of the member's range.
     """
     pattern = re.compile(wanted)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(folder)
@@ -56,31 +92,34 @@ def read_archives(spark: SparkSession, folder: str, wanted: str = "", *, span: i
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                lows, highs, size, low = [], [], 0, 0
                 with _opened(path) as archive:
                     entries = _entries(archive, pattern)
-                for k, entry in enumerate(entries):
-                    size += entry.compress_size
+                members, size, low = [], 0, 0
+                for k, e in enumerate(entries):
+                    members.append({"name": e.filename, "offset": e.header_offset, "packed": e.compress_size, "size": e.file_size, "crc": e.CRC, "method": e.compress_type, "flags": e.flag_bits})
+                    size += e.compress_size
                     if size >= span or k + 1 == len(entries):
-                        lows, highs, size, low = [*lows, low], [*highs, k + 1], 0, k + 1
-                yield pa.RecordBatch.from_pydict({"archive": [path] * len(lows), "low": lows, "high": highs}, _RANGES)
+                        yield pa.RecordBatch.from_pylist([{"archive": path, "low": low, "packed": size, "members": members}], _RANGES)
+                        members, size, low = [], 0, k + 1
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, low, high in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                with _opened(path) as archive:
-                    names, texts, size = [], [], 0
-                    for k, entry in enumerate(_entries(archive, pattern)[low:high], low + 1):
-                        names.append(entry.filename)
-                        texts.append(archive.read(entry).decode("utf-8", "replace"))
-                        size += entry.file_size
-                        if size >= BATCH or k == high:
-                            yield pa.RecordBatch.from_pydict({"archive": [path] * len(names), "low": [low] * len(names), "name": names, "text": texts})
-                            names, texts, size = [], [], 0
-
-    found = staged(files.select("path").mapInArrow(ranges, "archive string, low long, high long"), "archive-ranges")
-    tasks = max(1, min(found.count(), TASKS))
-    return found.repartition(tasks).mapInArrow(members, "archive string, low long, name string, text string")
+            for row in range(batch.num_rows):
+                path, low, listed = (batch.column(c)[row].as_py() for c in range(3))
+                names, texts, size = [], [], 0
+                for k, (entry, text) in enumerate(zip(listed, _texts(path, listed), strict=True), 1):
+                    names.append(entry["name"])
+                    texts.append(text)
+                    size += entry["size"]
+                    if size >= BATCH or k == len(listed):
+                        yield pa.RecordBatch.from_pydict({"archive": [path] * len(names), "low": [low] * len(names), "name": names, "text": texts})
+                        names, texts, size = [], [], 0
+
+    member = "struct<name string, offset long, packed long, size long, crc long, method int, flags int>"
+    found = staged(files.select("path").mapInArrow(ranges, f"archive string, low long, packed long, members array<{member}>"), "archive-ranges")
+    count, packed = found.agg(F.count("*"), F.coalesce(F.sum("packed"), F.lit(0))).first()
+    tasks = max(1, min(count, TASKS, max(4 * spark.sparkContext.defaultParallelism, packed // SPAN)))
+    return found.repartition(tasks).select("archive", "low", "members").mapInArrow(members, "archive string, low long, name string, text string")
 
 
 def write_archives(members: DataFrame, folder: str) -> None:

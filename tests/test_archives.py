@@ -63,3 +63,23 @@ def test_round_trip(spark, tmp_path):
     assert found == {name: text or "" for name, text in rows}
     write_archives(spark.createDataFrame([], "name string, text string"), f"file://{tmp_path}/none")
     assert not (tmp_path / "none").exists()
+
+
+def test_ranges_are_read_without_the_directory(tmp_path, monkeypatch):
+    """Before, every range parsed the whole directory again, so the read grew with ranges times members."""
+    from adjudica.sources import archives
+
+    path, methods = str(tmp_path / "x.zip"), [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    (tmp_path / "x.zip").write_bytes(b"bytes before the archive")
+    texts = [f"text {k} é " * 50 * k for k in range(len(methods))]
+    with zipfile.ZipFile(path, "a") as archive:
+        for k, (text, method) in enumerate(zip(texts, methods, strict=True)):
+            archive.writestr(f"f{k}.txt", text, method)
+    with zipfile.ZipFile(path) as archive:
+        listed = [{"name": e.filename, "offset": e.header_offset, "packed": e.compress_size, "size": e.file_size, "crc": e.CRC, "method": e.compress_type, "flags": e.flag_bits} for e in archive.infolist()]
+    assert list(archives._texts(path, listed)) == texts  # rarer methods by the directory
+    monkeypatch.setattr(archives.zipfile, "ZipFile", None)
+    assert list(archives._texts(path, listed[1:3])) == texts[1:3]
+    (tmp_path / "x.zip").write_bytes((tmp_path / "x.zip").read_bytes().replace(b"text 1", b"text x", 1))
+    with pytest.raises(zipfile.BadZipFile, match="CRC"):
+        list(archives._texts(path, listed[1:2]))
