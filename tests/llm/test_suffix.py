@@ -72,6 +72,30 @@ def test_nothing_is_broadcast_beyond_the_bound(spark, monkeypatch):
     assert found(spark, texts, length=64) == brute(texts, 64)
 
 
+def test_few_cuts_and_each_position_has_one():
+    draw, rule = random.Random(8), suffix_dedup.Rule(400)
+    texts = [bytes(draw.choices(b"etaoin shrdlu", k=n)) for n in (100_000, 300, 399, 400, 700, 0)]
+    block = suffix_dedup.Block(texts, rule)
+    assert len(block.cuts) < sum(map(len, texts)) / 120
+    served = [p for a, b in zip(block.first, block.last, strict=True) for p in range(a, b + 1)]
+    assert set(served) >= {p for a, e in zip(block.starts, block.ends, strict=True) for p in range(a, e - 399)} and len(served) == len(set(served))
+    assert all(0 <= c - b <= c - a <= rule.gap for a, b, c in zip(block.first, block.last, block.cuts, strict=True))
+    alone = suffix_dedup.Block([texts[0][5000:6000]], rule)
+    inside = {int(c) - 5000 for c in block.cuts if 5000 + rule.gap <= c < 6000 - rule.gap - 8}
+    assert inside == {int(c) for c in alone.cuts if rule.gap <= c < 1000 - rule.gap - 8}
+
+
+@pytest.mark.parametrize("length", [64, 400])
+def test_stretches_of_one_period_and_several_lengths(spark, length):
+    draw = random.Random(9)
+    letters = lambda n: "".join(draw.choice("cdefghij") for _ in range(n))
+    u, texts = letters(2 * length), []
+    for size in (0.6, 0.85, 0.9, 0.95, 1, 1.05, 1.2, 1.4, 1.5, 1.55, 1.8, 2.1, 2.6, 4, 8):
+        texts += [u + "ab" * int(size * length / 2) + end + letters(length // 2) for end in ("Z", "z")]
+        texts.append(letters(length) + "abc" * int(size * length / 3) + draw.choice("Zz!") + letters(length))
+    assert found(spark, texts, length=length, base=50) == brute(texts, length)
+
+
 def test_edges(spark):
     assert found(spark, []) == []
     assert [x[:3] for x in found(spark, [None, "", "short", "short"])] == [(0, 0, 0), (0, 0, 0), (5, 0, 0), (5, 0, 0)]
