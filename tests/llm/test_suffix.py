@@ -110,3 +110,38 @@ def test_ranks_of_suffixes(spark):
     ranks = {r["key"]: r["ranks"] for r in suffix_array.suffix_ranks(rows, 1000, base=10).collect()}
     got = sorted((rank, tuple(strings[k][i:])) for k, own in ranks.items() for i, rank in enumerate(own))
     assert [s for _, s in got] == sorted(tuple(s[i:]) for s in strings for i in range(len(s)))
+
+
+def test_only_triples_not_told_apart_go_on(spark, monkeypatch):
+    draw, made = random.Random(10), []
+    real = suffix_array.materialise
+    monkeypatch.setattr(suffix_array, "materialise", lambda df, name: (made.append(name), real(df, name))[1])
+    again = [draw.randint(1, 500) for _ in range(30)]
+    strings = [[draw.randint(1, 500) for _ in range(draw.randint(1, 60))] for _ in range(40)] + [again + [7, 8], [9] + again, again, again[3:] + [1, 2, 3, 4], [5] * 12]
+    rows = spark.createDataFrame([(k, s, [1] * len(s)) for k, s in enumerate(strings)], "key long, syms array<long>, spans array<long>")
+    ranks = {r["key"]: r["ranks"] for r in suffix_array.suffix_ranks(rows.repartition(3), 1000, base=400).collect()}
+    got = sorted((rank, tuple(strings[k][i:])) for k, own in ranks.items() for i, rank in enumerate(own))
+    assert [s for _, s in got] == sorted(tuple(s[i:]) for s in strings for i in range(len(s)))
+    assert made.count("suffix-open") == 1
+
+
+def test_few_cuts_are_ranked_and_few_positions_tried_one_by_one(spark, monkeypatch):
+    draw, rows = random.Random(12), {}
+    real = suffix_dedup.materialise
+
+    def counted(df, name):
+        made = real(df, name)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    letters = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        common = letters(1200)
+        texts += [letters(300) + common[draw.randint(0, 250) :] + letters(300) for _ in range(3)]
+    notes = [letters(200) for _ in range(12)]  # shorter than a match: their cuts occur twice and need no rank
+    texts += [letters(500) + notes[k % 12] + letters(500) for k in range(36)]
+    assert found(spark, texts) == brute(texts, 400)
+    assert 0 < rows["suffix-strings"] <= 36, rows
+    assert 0 < rows["suffix-windows"] < 1200, rows
